@@ -99,7 +99,7 @@ QUERIES = {
     for f in (op1_nearest_neighbours, op2_decontamination, op3_language_id, op4_near_duplicates, op5_secrets, op6_chat, op7_licenses, op8_toxicity, op9_sharding, op10_packing)
 } | {"pipeline": _pipeline}
 
-_WORDS = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')".format(r"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+_WORDS = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')".format(r"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 ORACLES = {
     "op2_decontamination": f"""
