@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -33,6 +33,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a costly column that is evaluated once: the optimizer copies no expression through a generator."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def strip(column: Column) -> Column:
     return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
 

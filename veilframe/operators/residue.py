@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import has, java, let, lines, strip
+from ..functions.text import computed, has, java, let, lines, strip
 
 
 _NEED_DIGIT = ("DOB", "STREET", "PLZ_CITY", "PHONE", "DIGIT_RUN", "KVNR")
@@ -118,7 +118,7 @@ def report(documents: DataFrame, policy: dict[str, str] | None = None, retained:
 
 def gate(documents: DataFrame, policy: dict[str, str] | None = None, retained: str | None = None, overrides: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(passed, quarantined): the second with the blocking hits, without content in them."""
-    judged = documents.withColumn("residue", hits(F.col("text"), policy, F.col(retained) if retained else None, F.col(overrides) if overrides else None))
+    judged = computed(documents, "residue", hits(F.col("text"), policy, F.col(retained) if retained else None, F.col(overrides) if overrides else None))
     blocking = F.filter("residue", lambda h: h.action == "block")
     judged = judged.withColumn("blocking", blocking)
     return judged.where(F.size("blocking") == 0).drop("blocking"), judged.where(F.size("blocking") > 0)

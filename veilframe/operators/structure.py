@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import fixed
-from ..functions.text import after_label, body_date, filename_date, has, iso_date, let, lines, strip
+from ..functions.text import after_label, body_date, computed, filename_date, has, iso_date, let, lines, strip
 from . import residue
 
 LISTS = ("timeline", "problems", "meds", "labs")
@@ -64,11 +64,10 @@ def merge(first: Column, second: Column) -> Column:
 
 def structured(documents: DataFrame, reply: str | None = None) -> DataFrame:
     """documents with record: the prepass, merged with the model's reply in column ``reply`` where that is usable."""
-    base = documents.withColumn("record", prepass(F.col("text")))
+    base = computed(documents, "record", prepass(F.col("text")))
     if reply is None:
         return base
-    model = coerce(F.col(reply))
-    return base.withColumn("_model", model).withColumn("record", F.when(F.col("_model").isNull(), F.col("record")).otherwise(merge(F.col("record"), F.col("_model")))).drop("_model")
+    return computed(base, "_model", coerce(F.col(reply))).withColumn("record", F.when(F.col("_model").isNull(), F.col("record")).otherwise(merge(F.col("record"), F.col("_model")))).drop("_model")
 
 
 @F.pandas_udf(StringType())
@@ -91,9 +90,10 @@ def with_metadata(documents: DataFrame, ingest_day: str, stem: str | None = None
     """documents(text, record) with date, date_source, topic, sender. stem: a column of file names of reviewed previews."""
     found = F.coalesce(iso_date(F.col("record.document_date")), body_date(F.col("text")))
     named = filename_date(F.col(stem)) if stem else F.lit(None).cast("string")
+    documents = computed(documents, "topic", slug(F.col("record.document_topic"), "document"))
+    documents = computed(documents, "sender", slug(F.col("record.document_sender"), "unknown-sender"))
     return documents.withColumns({
         "date": F.coalesce(found, named, F.lit(ingest_day)), "date_source": F.when(found.isNotNull(), "document").when(named.isNotNull(), "filename").otherwise("ingest"),
-        "topic": slug(F.col("record.document_topic"), "document"), "sender": slug(F.col("record.document_sender"), "unknown-sender"),
     })
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import subject_id
+from ..functions.text import computed, subject_id
 from ..operators import declutter, deid, detectors, residue, structure, vault
 
 
@@ -54,9 +54,9 @@ def ingest(documents: DataFrame, options: Options, *, vault_rows: DataFrame | No
     records = structure.structured(passed, options.reply)
     dated = structure.with_metadata(records, options.today.isoformat())
     stems = structure.named(dated, stored)
-    written = stems.withColumn("markdown", structure.rendered(options.accepted))
+    written = computed(stems, "markdown", structure.rendered(options.accepted))
     second = residue.hits(F.col("markdown"), options.policy, F.col("retained"), F.col(options.accepted) if options.accepted else None)
-    written = written.withColumn("_again", F.filter(second, lambda h: h.action == "block"))
+    written = computed(written, "_again", F.filter(second, lambda h: h.action == "block"))
     final, late = written.where(F.size("_again") == 0).drop("_again"), written.where(F.size("_again") > 0)
     quarantined = stopped.select("subject", "seq", "doc_id", "blocking").unionByName(late.select("subject", "seq", "doc_id", F.col("_again").alias("blocking")))
     merged = structure.merge_lists(structure.items(final), lists)
