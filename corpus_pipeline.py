@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import decontaminate, langid, packing, secrets, simhash
-from veilframe.llm.common import store, table
+from veilframe.llm.common import small, store, table
 
 #: A prediction below this share of the likelihood is no language we know.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -32,8 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = store(simhash.near_duplicates(docs), "duplicates")
     # A document goes if none of its rows stands for its component.
     ids = store(found.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n")), "ids")
-    kept = docs.join(ids.where("stays = 0").select("doc_id"), "doc_id", "left_anti")
-    repeated = ids.where("stays = 1 and n > 1").select("doc_id")
+    # Texts are only shuffled if the ids to drop are too many to broadcast.
+    kept = docs.join(small(ids.where("stays = 0").select("doc_id"), 16), "doc_id", "left_anti")
+    repeated = small(ids.where("stays = 1 and n > 1").select("doc_id"), 16)
     rest = [c for c in docs.columns if c != "doc_id"]
     first = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
@@ -44,6 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     hit = store(found.where("contaminated").select(*decontaminate.row_key(F.col("doc_id"), F.col("doc_key"))).distinct(), "contaminated")
     rows = docs.withColumns(dict(zip(("_id", "_key"), decontaminate.row_key(F.col("doc_id"), F.hash("text")))))
+    hit = small(hit, 32)
     return rows.join(hit, (F.col("_id") == hit["row_id"]) & (F.col("_key") == hit["row_key"]), "left_anti").select(docs.columns)
 
 

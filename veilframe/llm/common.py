@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -64,6 +65,24 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def sampled(rows: DataFrame, group: str, most: int, most_groups: int = 1000) -> DataFrame:
+    """The ``most`` rows of each group with the smallest hashes of doc_id: (doc_id, group).
+
+    The groups are counted first, so that a hash bound leaves about four times as many as wanted: what the ranking gets
+    is bounded by groups and ``most``, not by the input or its tasks.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("n")).limit(most_groups + 1).collect()
+    if len(counts) > most_groups:
+        raise ValueError(f"more than {most_groups} values of {group}")
+    if not counts:
+        return rows.select("doc_id", group)
+    bound = lambda n: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * most // max(n, 1))
+    bounds = rows.sparkSession.createDataFrame([(r[group], bound(r.n)) for r in counts], rows.select(group).withColumn("bound", F.lit(0).cast("long")).schema)
+    few = rows.join(F.broadcast(bounds), group).where(F.xxhash64("doc_id") <= F.col("bound"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return few.withColumn("place", place).where(F.col("place") <= most).select("doc_id", group)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, everything else untouched."""
     return F.translate(text, UPPER, LOWER)

@@ -21,9 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import id_remainder
+from .common import id_remainder, sampled
 
 SAMPLE_DOCS, SAMPLE_CHARS, LONGEST, WORD_PRIOR, BACKOFF = 800, 3000, 4, 0.1, 2.0
 CACHED = 250_000
@@ -129,14 +128,8 @@ def held_out(doc_id):
 
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from a sample, bounded as said, of the labelled rows that are not held out."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    languages = known.select("lang").distinct().limit(1001).collect()
-    if len(languages) > 1000:
-        raise ValueError("more than 1000 languages")
-    share = max(1, sample_docs * 8 // max(8, len(languages)))
-    # Only ids are ranked: row_number with a bound keeps at most that many rows of a language in each task.
-    picked = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= share).select("doc_id").distinct()
+    picked = sampled(known.select("doc_id", "lang"), "lang", sample_docs).select("doc_id").distinct()
     rows = known.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")).collect()
     return Model.fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id is None, r.doc_id, r.text))])
 

@@ -87,7 +87,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> D
     first = F.lit(True)  # each link only in the first segment that finds it
     for k, mask in enumerate(masks[:-1]):
         first = first & ((F.col("p.seg") <= k) | (F.bit_count(gap.bitwiseAND(F.lit(_signed(mask)))) > least))
-    found = probes.alias("p").join(
+    # Both sides grow with the corpus, and a file's size says nothing of the rows exploded from it: never broadcast.
+    found = probes.alias("p").hint("merge").join(
         entries.alias("t"),
         (F.col("p.seg") == F.col("t.seg")) & (F.col("p.key") == F.col("t.key")) & (~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(gap) <= radius) & first,
     )

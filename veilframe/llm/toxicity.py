@@ -22,9 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window
 
-from .common import id_remainder
+from .common import id_remainder, sampled
 
 SIZES, SAMPLE_DOCS, FEATURES, LEAST_DOCS, THRESHOLD = (3, 4, 5), 1200, 4000, 5, 0.3
 STEPS, RATE, RIDGE, CACHED = 300, 1.0, 4e-4, 250_000
@@ -119,8 +118,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs).drop("place")
+    picked = sampled(known, "y", sample_docs)
     rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # at most 2 * sample_docs ids
     rows = sorted(rows, key=lambda r: (r.y, r.doc_id, r.text or ""))
     return Model.fit([r.text or "" for r in rows], [r.y for r in rows], share)
