@@ -213,6 +213,14 @@ def test_language(spark, odd, none):
     assert model.predict(None) == model.predict("12 _ %") == ("und", 0.0)
     made = langid.predict(odd, model).collect()
     assert len(made) == len(ODD) and all(0 <= r.score <= 1 for r in made)
+    hot = [(0, f"the house is number {k}", "en") for k in range(200)]  # one id with most of the rows
+    seen = []
+    fitted, langid.Model.fit = langid.Model.fit, lambda texts: seen.extend(texts) or fitted(texts)
+    try:
+        langid.fit(spark.createDataFrame(rows + hot, "doc_id long, text string, lang string"), sample_docs=50)
+    finally:
+        langid.Model.fit = fitted
+    assert len(seen) == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k, _, _ in rows) and seen.count(("en", rows[0][1])) <= 30
     empty = langid.fit(none.withColumn("lang", F.lit(None).cast("string")))
     assert empty.predict("text")[0] == "und" and langid.predict(none, model).count() == 0
 
@@ -226,6 +234,8 @@ def test_toxicity(spark, odd, none):
     made = toxicity.score(documents, toxicity.fit(documents, labels)).collect()
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in made)
     model = toxicity.fit(documents, labels)
+    more = documents.union(spark.createDataFrame([(1, "window " * 40)] * 500, "doc_id long, text string"))
+    assert toxicity.fit(more, labels.union(labels)).score(docs[0][1]) == model.score(docs[0][1])
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect()) and toxicity.score(none, model).count() == 0
     assert toxicity.fit(none, labels.limit(0)).score("x") < 0.01
 

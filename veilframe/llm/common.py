@@ -66,23 +66,28 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
 
 
 def sampled(rows: DataFrame, group: str, most: int, most_groups: int = 1000) -> DataFrame:
-    """The ``most`` rows of each group with the smallest hashes of doc_id: (doc_id, group).
+    """The ``most`` ids of each group with the smallest hashes: (doc_id, group), each once however many rows repeat it.
 
-    The groups are counted first, so that a hash bound leaves about four times as many as wanted: what the ranking gets
-    is bounded by groups and ``most``, not by the input or its tasks.
+    The ids are counted first, by a sketch, so that a hash bound leaves about four times as many as wanted: what the
+    ranking gets is bounded by groups and ``most``, not by the input, its tasks or the rows of one id.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("n")).limit(most_groups + 1).collect()
+    counts = rows.groupBy(group).agg(F.approx_count_distinct("doc_id").alias("n")).limit(most_groups + 1).collect()
     if len(counts) > most_groups:
         raise ValueError(f"more than {most_groups} values of {group}")
     if not counts:
         return rows.select("doc_id", group)
     bound = lambda n: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * most // max(n, 1))
     bounds = rows.sparkSession.createDataFrame([(r[group], bound(r.n)) for r in counts], rows.select(group).withColumn("bound", F.lit(0).cast("long")).schema)
-    few = rows.join(F.broadcast(bounds), group).where(F.xxhash64("doc_id") <= F.col("bound"))
+    few = rows.join(F.broadcast(bounds), group).where(F.xxhash64("doc_id") <= F.col("bound")).select("doc_id", group).distinct()
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id"))
     return few.withColumn("place", place).where(F.col("place") <= most).select("doc_id", group)
 
 
+def one_text(rows: DataFrame, picked: DataFrame, group: str) -> list:
+    """The smallest text of each picked (doc_id, group), collected: as many rows as were picked, whatever one id holds."""
+    return rows.join(F.broadcast(picked), [c for c in picked.columns if c in rows.columns]).groupBy("doc_id", group).agg(F.min("text").alias("text")).collect()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, everything else untouched."""
     return F.translate(text, UPPER, LOWER)

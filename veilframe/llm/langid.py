@@ -7,7 +7,7 @@ of the id and ``sample_chars`` characters of each; prediction reads whole texts,
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; equal scores go to the
 language that sorts first; without any labelled text every text is ``und``. Labels that are null are not learned.
-Rows that repeat an id are rows like any other; further columns are ignored.
+Rows that repeat an id are predicted like any other, but an id is learned once per language, by its smallest text; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, sampled
+from .common import id_remainder, one_text, sampled
 
 SAMPLE_DOCS, SAMPLE_CHARS, LONGEST, WORD_PRIOR, BACKOFF = 800, 3000, 4, 0.1, 2.0
 CACHED = 250_000
@@ -129,9 +129,9 @@ def held_out(doc_id):
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from a sample, bounded as said, of the labelled rows that are not held out."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = sampled(known.select("doc_id", "lang"), "lang", sample_docs).select("doc_id").distinct()
-    rows = known.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")).collect()
-    return Model.fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id is None, r.doc_id, r.text))])
+    picked = sampled(known.select("doc_id", "lang"), "lang", sample_docs)
+    rows = one_text(known.select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")), picked, "lang")
+    return Model.fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id))])
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:

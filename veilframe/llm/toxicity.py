@@ -7,8 +7,8 @@ the scaled features is fitted by full-batch gradient steps on a bounded sample o
 
 Defined results: null and empty texts have no features and score the model's bias, as does a text of unseen
 n-grams; without labelled rows of both classes every score is the share of toxic labels (0 without any).
-Rows that repeat an id are rows like any other; a label row counts once per text row of its id; null labels are
-not learned. Further columns are ignored.
+Rows that repeat an id are scored like any other, but an id is learned once per label, by its smallest text; null
+labels are not learned. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import id_remainder, sampled
+from .common import id_remainder, one_text, sampled
 
 SIZES, SAMPLE_DOCS, FEATURES, LEAST_DOCS, THRESHOLD = (3, 4, 5), 1200, 4000, 5, 0.3
 STEPS, RATE, RIDGE, CACHED = 300, 1.0, 4e-4, 250_000
@@ -119,8 +119,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = sampled(known, "y", sample_docs)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # at most 2 * sample_docs ids
-    rows = sorted(rows, key=lambda r: (r.y, r.doc_id, r.text or ""))
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = sorted(one_text(rows, picked, "y"), key=lambda r: (r.y, r.doc_id))
     return Model.fit([r.text or "" for r in rows], [r.y for r in rows], share)
 
 
