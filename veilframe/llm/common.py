@@ -89,8 +89,11 @@ def one_text(rows: DataFrame, picked: DataFrame, group: str) -> list:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z, everything else untouched."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z to a-z, everything else untouched.
+
+    A text of ASCII alone, as many bytes as characters, takes ``lower``, which goes by bytes; ``translate`` goes by characters.
+    """
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def id_remainder(doc_id: Column, by: int) -> Column:
