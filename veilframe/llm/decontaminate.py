@@ -51,7 +51,10 @@ class Index:
         self.item_rows = self.items.count()
         # The empty string ends every document: its position is the number of words.
         row_id, key = row_key(F.col("doc_id"), F.hash("text"))
-        spread = documents.select(row_id.alias("doc_id"), key.alias("doc_key"), F.posexplode(F.array_append(words(F.col("text")), F.lit(""))).alias("pos", "term"))
+        # Keys and words come before the explode, or the text would be carried and hashed again for each of its words; the
+        # outer form, on arrays that are never empty, spares a filter that would split every text a second time.
+        rows = documents.select(row_id.alias("doc_id"), key.alias("doc_key"), F.array_append(words(F.col("text")), F.lit("")).alias("words"))
+        spread = rows.select(*_ROW, F.posexplode_outer("words").alias("pos", "term"))
         wanted = terms.union(documents.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(-1).cast("long").alias("tid")))
         self.postings = store(spread.join(small(wanted, average, self.terms[0]), "term").select("doc_id", "doc_key", "pos", F.col("tid").cast("long").alias("tid")), "postings")
 
