@@ -58,6 +58,11 @@ def templates(spark: SparkSession, rows=None) -> DataFrame:
     return listed.select("template", "license", bigrams(words(F.col("text"))).alias("grams")).withColumn("size", F.size("grams")).where("size > 0")
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with one more column, evaluated once a row: a plain column would be repeated in each filter and column that names it."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def scan(documents: DataFrame, rows=None, threshold: float = THRESHOLD) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, n_units, licenses, best_license, best_dice), one row per row."""
     spark = documents.sparkSession
@@ -68,12 +73,12 @@ def scan(documents: DataFrame, rows=None, threshold: float = THRESHOLD) -> DataF
     keyed = documents.select("doc_id", F.hash("text").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
     # Lines, and blocks of several lines between blank ones.
     blocks = F.filter(F.split("text", r"\n[ \t\r]*(?:\n[ \t\r]*)+"), lambda b: b.contains("\n"))
-    units = keyed.select(*_ROW, F.explode(F.array_distinct(F.concat(F.split("text", r"\n"), blocks))).alias("unit"))
+    units = keyed.select(*_ROW, F.explode_outer(F.array_distinct(F.concat(F.split("text", r"\n"), blocks))).alias("unit"))
     # A word and its gap take at least two characters; longer units than the upper bound in words are not expanded.
-    sized = units.where(F.length("unit") >= 2 * least + 1).withColumn("tokens", words(F.col("unit"))).where(F.size("tokens").between(least + 1, 1 << 24))
+    sized = _once(units.where(F.length("unit") >= 2 * least + 1), "tokens", words(F.col("unit"))).where(F.size("tokens").between(least + 1, 1 << 24))
     # Few distinct bigrams may hide in many words, so the bound is on distinct bigrams.
-    spread = sized.withColumn("grams", bigrams(F.col("tokens"))).withColumn("a", F.size("grams")).where(F.col("a").between(least, most))
-    spread = spread.select(*_ROW, "a", F.xxhash64("unit").alias("unit"), F.explode("grams").alias("gram"))
+    spread = _once(sized, "grams", bigrams(F.col("tokens"))).withColumn("a", F.size("grams")).where(F.col("a").between(least, most))
+    spread = spread.select(*_ROW, "a", F.xxhash64("unit").alias("unit"), "grams").select(*_ROW, "a", "unit", F.explode_outer("grams").alias("gram"))
     wanted = known.select("template", "license", F.col("size").alias("b"), F.explode("grams").alias("gram"))
     met = spread.join(small(wanted, 128, sum(r.size for r in listed)), "gram").where((F.col("a") >= F.col("b") * threshold / (2 - threshold)) & (F.col("a") <= F.col("b") * (2 - threshold) / threshold))
     # One row of a unit for each bigram: repeated rows of a document would count twice, hence the distinct.
