@@ -53,12 +53,27 @@ class _Rows(dict):
         return row
 
 
+class _Longest(dict):
+    """window -> score of the longest known n-gram that it begins with, or None; a bounded number of them is kept."""
+
+    def __init__(self, grams: list[dict[str, list[float]]]):
+        super().__init__()
+        self.grams = grams
+
+    def __missing__(self, window: str) -> list[float] | None:
+        if len(self) >= CACHED:
+            self.clear()
+        self[window] = found = next((score for size in range(len(window), 0, -1) if (score := self.grams[size - 1].get(window[:size]))), None)
+        return found
+
+
 class Model:
     """words and grams: feature -> log frequency per language, centred on the mean over languages."""
 
     def __init__(self, languages: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
         self.languages, self.words, self.grams = languages, words, grams
         self._rows: _Rows | None = None
+        self._longest = _Longest(grams)
 
     @classmethod
     def fit(cls, texts: list[tuple[str, str]], longest: int = LONGEST, least_uses: int = 2) -> Model:
@@ -92,12 +107,8 @@ class Model:
 
     def back_off(self, word: str) -> list[float]:
         """The score of an unseen word, from the longest known n-gram at each of its positions."""
-        padded, found, longest = f" {word} ", [], len(self.grams)
-        for k in range(len(padded)):
-            for size in range(min(longest, len(padded) - k), 0, -1):
-                if score := self.grams[size - 1].get(padded[k : k + size]):
-                    found.append(score)
-                    break
+        padded, longest, best = f" {word} ", len(self.grams), self._longest
+        found = [score for k in range(len(padded)) if (score := best[padded[k : k + longest]])]
         share = BACKOFF * max(1, len(found))
         return [sum(x) / share for x in zip(*found)] if found else [0.0] * len(self.languages)
 
@@ -105,7 +116,7 @@ class Model:
         if self._rows is None:
             self._rows = _Rows(self)
         try:
-            return self._rows.scores[list(map(self._rows.__getitem__, words))].sum(0)
+            return self._rows.scores[np.fromiter(map(self._rows.__getitem__, words), np.intp, len(words))].sum(0)
         except OverflowError:  # start the further rows anew; a text of more words than they hold goes in two halves
             self._rows = _Rows(self)
             if len(words) <= CACHED:
