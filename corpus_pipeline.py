@@ -25,19 +25,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest id; rows without an id stay.
+    """Of each near-duplicate component one row, of its smallest id; rows without an id stay.
 
-    Of rows that share an id and fall into several components or differ, the smallest row stays.
+    Components are told apart by their roots, since ids may repeat: rows that share an id and lie in several components
+    are judged each in its own. Of texts with one id in one component the one with the smallest hash stays, of equal
+    texts with one id the smallest row.
     """
-    found = store(simhash.near_duplicates(docs), "duplicates")
-    # A document goes if none of its rows stands for its component.
-    ids = store(found.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("n")), "ids")
-    # Texts are only shuffled if the ids to drop are too many to broadcast.
-    kept = docs.join(small(ids.where("stays = 0").select("doc_id"), 16), "doc_id", "left_anti")
-    repeated = small(ids.where("stays = 1 and n > 1").select("doc_id"), 16)
+    key = ["doc_id", "_text", "_check"]  # an id and 96 bits of its text
+    keyed = docs.withColumns({"_text": F.xxhash64("text"), "_check": F.hash("text")})
+    found = store(simhash.grouped(keyed, key[1:]).where("doc_id is not null").groupBy("root", *key).agg(F.count("*").alias("n")), "duplicates")
+    # Equal keys have equal roots, so a key alone tells whether its rows stand for their component.
+    standing = store(found.groupBy("root").agg(F.min(F.struct(*key)).alias("least")).select("least.*"), "standing")
+    gone = store(found.join(standing, key, "left_anti").select(key), "gone")
+    repeated = store(found.where("n > 1").join(standing, key, "left_semi").select(key), "repeated")
+    # Texts are only shuffled if the keys to drop are too many to broadcast.
+    kept = keyed.join(small(gone, 32), key, "left_anti")
+    repeated = small(repeated, 32)
     rest = [c for c in docs.columns if c != "doc_id"]
-    first = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+    first = kept.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return kept.join(repeated, key, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

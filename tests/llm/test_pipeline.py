@@ -69,3 +69,14 @@ def test_odd_rows_pass_through_every_stage(spark):
     for name, stage in p.STAGES[:2]:
         kept = store(stage(spark, kept, SF), name)
     assert sorted(str(r.doc_id) for r in kept.collect()) == [str(a), str(b), "None"]
+
+
+def test_near_dedup_keeps_a_row_of_every_component_where_ids_repeat(spark):
+    import corpus_pipeline as p
+
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    texts = [(5, text("a")), (5, text("b")), (9, text("b")), (9, text("a")), (9, text("own")), (5, text("a")), (None, text("a")), (7, text("far"))]
+    texts += [(3, text(f"hot{k}")) for k in range(40)]
+    docs = spark.createDataFrame([(k, t, "en", "s", n) for n, (k, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((str(r.doc_id), r.text, r.n_chars) for r in p.near_dedup(spark, docs, SF).collect())
+    assert kept == sorted((str(texts[n][0]), texts[n][1], n) for n in [0, 1, 4, 6, 7, *range(8, 48)])

@@ -95,15 +95,21 @@ def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> D
     return found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, fingerprint, component_id), one row per row.
+def grouped(documents: DataFrame, keys: list[str], radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """documents(doc_id, text, *keys) -> (doc_id, *keys, fp, root, component_id), one row per row.
 
+    The root is the component's smallest linked fingerprint, and so its name even where components share ids.
     Equal fingerprints are one node, so copies cost no links; only nodes and links are joined, never rows.
     Segments should be near log2 of the number of distinct fingerprints: 3 up to some hundred million, 2 beyond.
     """
-    rows = store(documents.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
+    rows = store(documents.select("doc_id", *keys, fingerprints("text").alias("fp")), "fingerprints")
     nodes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = components(links(nodes.select("fp"), radius, segments))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = labelled.join(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = labelled.join(labelled.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", *keys, "fp", "root", "component_id")
+
+
+def near_duplicates(documents: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """documents(doc_id, text) -> (doc_id, fingerprint, component_id), one row per row."""
+    return grouped(documents, [], radius, segments).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
