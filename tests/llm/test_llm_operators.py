@@ -261,6 +261,26 @@ def test_neighbours(spark):
     assert ann.search(vectors.where("vec_id < 3"), lambda i: i % 20 == 0).count() == 2
 
 
+def test_neighbours_where_ids_repeat(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((200, 16)).astype(np.float32)
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
+    best = int(np.argsort(-(x @ x[0]))[1])  # the best neighbour of 0, copied, and with many vectors of its own
+    rows += [rows[best]] * 100 + [(best, [float(v) for v in x[best] * (1 + k / 100)]) for k in range(100)] + [rows[0]] * 30
+    made = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i % 20 == 0, k=10).orderBy("query_id", "rank").collect()
+    got = defaultdict(list)
+    for r in made:
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 200, 20):
+        scores = {}
+        for a in (v for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    scores[i] = max(scores.get(i, -np.inf), sum(m * n for m, n in zip(a, v)))
+        want = sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:10]
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and np.allclose([s for _, s in got[q]], [s for _, s in want])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([*chat.RESERVED, *chat.FOREIGN, chat.ESCAPE, "<", "[", "s>", " ok "]), max_size=12).map("".join))
 def test_escapes_are_reversible_and_complete(text):

@@ -11,8 +11,9 @@ skips the cells that cannot reach it (centroid product plus the cell's radius),
 the original vectors in double precision, those whose upper bound reaches it and the block's k-th best lower bound.
 So only the error bounds' confidence can lose a neighbour.
 
-Large cells are cut by a hash of the id, and cells with many queries by a hash of the query, so that a
-task's block is bounded in both.
+Large cells are cut by a hash of the row, and cells with many queries by a hash of the query, so that a
+task's block is bounded in both. Equal rows of one id are indexed once, and within a block an id counts once, by
+its best row, towards the k-th bound and the k best.
 
 Defined results: vectors that are null, zero, of another than the most frequent length, or hold a null or
 non-finite component take no part, nor do null ids; rows with one vec_id are one vector, the best-scoring of them;
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small, store
+from .common import discard, small, store
 
 K, SAMPLE, ROUNDS, SEED = 20, 8192, 6, 17
 CELL_ROWS, MOST_CELLS, BITS_A_DIMENSION = 4096, 1024, 4
@@ -99,16 +100,29 @@ def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def best_of_block(estimate, k: int, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray):
-    """The k best of the block for each query, as far as they reach its floor: (query_id, vec_id, score)."""
+    """The k best ids of the block for each query, as far as they reach its floor: (query_id, vec_id, score).
+
+    An id may have several rows; its best one counts.
+    """
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1)) if len(ids) else by_id
     for a in range(0, len(queries), 64):
         own, own_ids, floor = queries[a : a + 64], query_ids[a : a + 64], floors[a : a + 64]
         guess, bound = estimate(own)
         itself = own_ids[:, None] == ids[None, :]
-        if len(ids) > k:
+        if len(starts) > k:
             low = np.where(itself, -np.inf, guess - bound)
+            if len(starts) < len(ids):
+                low = np.maximum.reduceat(low[:, by_id], starts, axis=1)
             floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
         which, who = np.nonzero((guess + bound >= floor[:, None]) & ~itself)
         scores = exact(own[which], vectors[who])
+        if len(starts) < len(ids):
+            order = np.lexsort((-scores, ids[who], which))
+            which, who, scores = which[order], who[order], scores[order]
+            best = (np.diff(which, prepend=-1) != 0) | (np.diff(ids[who], prepend=0) != 0)
+            best[:1] = True
+            which, who, scores = which[best], who[best], scores[best]
         order = np.lexsort((ids[who], -scores, which))
         which, who, scores = which[order], who[order], scores[order]
         place = np.arange(len(which)) - np.searchsorted(which, which)
@@ -117,13 +131,13 @@ def best_of_block(estimate, k: int, ids: np.ndarray, vectors: np.ndarray, query_
 
 
 def valid(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, v) of the vectors that take part, and their length."""
+    """(vec_id, v) of the vectors that take part, each once however many rows repeat it, and their length."""
     sized = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     unfit = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sized = sized.where(F.col("v").isNotNull() & ~unfit & F.exists("v", lambda x: x != 0))
     lengths = sized.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     dim = lengths.d if lengths else 1
-    return sized.where(F.size("v") == dim), dim
+    return sized.where(F.size("v") == dim).distinct(), dim
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -135,8 +149,11 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """vectors(vec_id, embedding) -> (query_id, rank, vec_id, score) for the rows where ``is_query`` holds."""
     spark = vectors.sparkSession
     fit, dim = valid(vectors)
+    fit = store(fit, "vectors")
     rows = fit.count()
-    sample = {r.vec_id: r.v for r in fit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()}
+    picked = fit.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    sample = {r.vec_id: r.v for r in fit.join(F.broadcast(picked), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v")).collect()}
+    sample = dict(sorted(sample.items()))
     points = np.array(list(sample.values()), float).reshape(-1, dim) if sample else np.zeros((1, dim))
     codes = Codes.fit(points, rows)
     shipped = spark.sparkContext.broadcast((codes, points))  # at most MOST_CELLS centroids and SAMPLE vectors
@@ -150,6 +167,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     kind = fit.schema["v"].dataType.simpleString()
     index = store(fit.mapInArrow(encode, f"cell int, vec_id long, v {kind}, bits binary, length double, cosine double, product double"), "codes")
+    discard(fit)
     radii = np.zeros(len(codes.centroids))
     for r in index.groupBy("cell").agg(F.max("length").alias("radius")).collect():  # a row per cell
         radii[r.cell] = r.radius
@@ -172,10 +190,10 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     # Two numbers a cell: into how many parts its vectors and its queries are cut.
     parts = index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("cuts")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("turns")), "cell")
     parts = small(store(parts, "parts"), 32, len(codes.centroids))
-    part = lambda column, count: F.pmod(F.xxhash64(column), F.col(count))
+    part = lambda columns, count: F.pmod(F.xxhash64(*columns), F.col(count))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    left = index.join(parts, "cell").select("*", part("vec_id", "cuts").alias("cut"), every("turns").alias("turn")).drop("cuts", "turns")
-    right = asked.join(parts, "cell").select("*", part("query_id", "turns").alias("turn"), every("cuts").alias("cut")).drop("cuts", "turns")
+    left = index.join(parts, "cell").select("*", part(["vec_id", "v"], "cuts").alias("cut"), every("turns").alias("turn")).drop("cuts", "turns")
+    right = asked.join(parts, "cell").select("*", part(["query_id", "v"], "turns").alias("turn"), every("cuts").alias("cut")).drop("cuts", "turns")
 
     def match(data: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
