@@ -318,3 +318,23 @@ def test_licenses_equal_brute_force(spark, odd, none):
         assert made[k].licenses == ",".join(sorted(found)), text
     assert made[0].licenses == "MIT" and made[6].licenses == "MIT"
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).count() == 0
+
+
+def test_licenses_inside_longer_units(spark):
+    import textwrap
+
+    gpl = textwrap.wrap(licenses.TEMPLATES[6][1], 70) + ["", *textwrap.wrap("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY. See the GNU General Public License for more details.", 70)]
+    mit = textwrap.wrap("Copyright (c) 2020 Somebody Else and all the other people who wrote it. " + licenses.TEMPLATES[4][1], 60)
+    mit += ["", *textwrap.wrap("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " * 3, 60)]
+    prose = " ".join(f"word{k}" for k in range(20_000))
+    texts = [
+        "".join(f"# {x}\n" for x in gpl) + "import os\n", "/*\n" + "".join(f" * {x}\n" for x in mit) + " */\nint x;",
+        "See the README. Licensed under the Apache License, Version 2.0. All contributions are welcome and will be read by the maintainers.",
+        f"{prose} Released under the MIT License. {prose}", "The licence of this software is granted free of charge to any person, and permission notices are distributed.", prose,
+    ]
+    want = ["GPL-2.0-or-later,GPL-3.0-or-later", "MIT", "Apache-2.0", "MIT", "", ""]
+    made = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert made[0].best_license == "GPL-3.0-or-later" and [made[k].licenses for k in range(6)] == want and [made[k].n_units for k in range(6)] == [1, 1, 1, 1, 0, 0]
+    # Wherever a notice stands, also over the border of two pieces.
+    lap = spark.createDataFrame([(k, "x y " * 2036 + "z " * k + licenses.TEMPLATES[4][1] + " q" * 200) for k in range(0, 200, 9)], "doc_id long, text string")
+    assert {(r.licenses, r.best_dice) for r in licenses.scan(lap).collect()} == {("MIT", 1.0)}

@@ -1,11 +1,21 @@
 """Licence scanning by the Dice coefficient over word bigrams, in DataFrame operations only.
 
 Texts are normalised (lower case, words of letters and digits, copyright lines' years kept as words) and cut
-into units: every line, and every run of lines without a blank one. A unit matches a template if twice
+into units: every line, every run of lines without a blank one, and every run of lines without one that has no word
+(as of comment marks alone). A unit matches a template if twice
 their shared distinct bigrams, divided by the sum of both counts, reaches ``threshold``. Counts of a and b allow
 that only if b * t / (2 - t) <= a <= b * (2 - t) / t, so units out of every template's bounds are never
 expanded, and pairs out of bounds never counted; the rest meet in an equi-join on bigrams.
 
+A notice inside a longer unit is found by windows over the words of the whole text, whatever lines or marks part
+them: from every place where a bigram of the template stands, as many words as the template has. Texts are cut
+into overlapping pieces for that, so that each window lies whole in one. ``n_units`` counts the matching lines and
+blocks, and one for every template that only windows match.
+
+Any match shares at least b * t / (2 - t) of a template's bigrams, so it holds one of any larger choice than the rest
+of them. Of each template the choice with the longest words is taken, and only texts that hold the longer word of one
+of its bigrams are cut at all: this loses no match.
+
 Defined results: null text is empty; documents without a match have no licences; rows that repeat an id and a text
 share their result; null ids are kept. Templates are a bounded list, checked before they are broadcast. Further columns
 are ignored.
@@ -13,6 +23,9 @@ are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +53,7 @@ TEMPLATES = [
 ]
 
 _ROW = ["doc_id", "doc_key"]
+PIECE_WORDS = 4096
 
 
 def words(text: Column) -> Column:
@@ -53,9 +67,10 @@ def bigrams(tokens: Column) -> Column:
 
 
 def templates(spark: SparkSession, rows=None) -> DataFrame:
-    """(template, license, grams, size), from (license, text) rows."""
+    """(template, license, grams, n_words, size), from (license, text) rows."""
     listed = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(rows or TEMPLATES)], "template int, license string, text string")
-    return listed.select("template", "license", bigrams(words(F.col("text"))).alias("grams")).withColumn("size", F.size("grams")).where("size > 0")
+    tokens = words(F.col("text"))
+    return listed.select("template", "license", bigrams(tokens).alias("grams"), F.size(tokens).alias("n_words")).withColumn("size", F.size("grams")).where("size > 0")
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -63,6 +78,41 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+def least_shared(size: int, threshold: float) -> int:
+    """The fewest bigrams that a match shares with a template of ``size`` distinct ones."""
+    return max(1, math.ceil(size * threshold / (2 - threshold) - 1e-9))
+
+
+def telling(grams: list[str], threshold: float) -> list[str]:
+    """The longer words of bigrams chosen so that every match holds one of these bigrams."""
+    longest = [max(gram.split(" "), key=lambda w: (len(w), w)) for gram in grams]
+    return sorted(longest, key=lambda w: (-len(w), w))[: len(grams) - least_shared(len(grams), threshold) + 1]
+
+
+def windows(texts: DataFrame, listed: list, threshold: float) -> DataFrame:
+    """texts(doc_id, doc_key, text) -> (doc_id, doc_key, template, license, b, dice): the best window of each template in each piece, if it matches."""
+    spark = texts.sparkSession
+    rows = [(r.template, r.license, r.grams, r.size, r.n_words - 1, least_shared(r.size, threshold), telling(r.grams, threshold)) for r in listed]
+    wanted = spark.createDataFrame(rows, "template int, license string, wanted array<string>, b int, span int, least int, telling array<string>")
+    lap = max(r.n_words for r in listed)
+    ends = F.greatest(F.size("tokens") - lap, F.lit(1))
+    # But for the last one, a piece's own windows start in its first PIECE_WORDS words.
+    piece = lambda at: F.struct(F.slice("tokens", at, PIECE_WORDS + lap).alias("tokens"), F.when(at + PIECE_WORDS <= ends, PIECE_WORDS).otherwise(PIECE_WORDS + lap).alias("most"))
+    cut = F.transform(F.sequence(F.lit(1), ends, F.lit(PIECE_WORDS)), piece)
+    pieces = _once(texts.select(*_ROW, "text"), "tokens", words(F.col("text"))).where(F.size("tokens") > 1).select(*_ROW, F.explode(cut).alias("piece")).select(*_ROW, "piece.*")
+    pairs = F.zip_with(F.slice("tokens", 1, F.size("tokens") - 1), F.slice("tokens", 2, F.size("tokens") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    pieces = _once(pieces.where(F.size("tokens") > 1), "pairs", pairs)
+    met = pieces.join(small(wanted, 4096, len(rows)), F.arrays_overlap("tokens", "telling") & (F.size(F.array_intersect("pairs", "wanted")) >= F.col("least"))).drop("tokens")
+    starts = F.filter(F.sequence(F.lit(1), F.least(F.size("pairs"), "most")), lambda at: F.array_contains("wanted", F.element_at("pairs", at)))
+
+    def dice(at: Column) -> Column:
+        own = F.slice("pairs", at, F.col("span"))
+        return 2 * F.size(F.array_intersect(own, "wanted")) / (F.size(F.array_distinct(own)) + F.col("b"))
+
+    found = _once(_once(met, "starts", starts), "dice", F.array_max(F.transform("starts", dice)))
+    return found.where(F.col("dice") >= threshold).select(*_ROW, "template", "license", "b", "dice")
+
+
 def scan(documents: DataFrame, rows=None, threshold: float = THRESHOLD) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, n_units, licenses, best_license, best_dice), one row per row."""
     spark = documents.sparkSession
@@ -71,9 +121,13 @@ def scan(documents: DataFrame, rows=None, threshold: float = THRESHOLD) -> DataF
     least = min((r.size for r in listed), default=1) * threshold / (2 - threshold)
     most = max((r.size for r in listed), default=0) * (2 - threshold) / threshold
     keyed = documents.select("doc_id", F.hash("text").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
-    # Lines, and blocks of several lines between blank ones.
-    blocks = F.filter(F.split("text", r"\n[ \t\r]*(?:\n[ \t\r]*)+"), lambda b: b.contains("\n"))
-    units = keyed.select(*_ROW, F.explode_outer(F.array_distinct(F.concat(F.split("text", r"\n"), blocks))).alias("unit"))
+    needles = sorted({w for r in listed for w in telling(r.grams, threshold)})
+    low = _once(keyed, "low", ascii_lower(F.col("text")))
+    texts = low.where(reduce(lambda a, b: a | b, (F.col("low").contains(w) for w in needles), F.lit(False))).drop("low")
+    # Lines, and blocks of several lines between blank ones, or between ones without a word.
+    blocks = lambda parted: F.filter(F.split("text", parted), lambda b: b.contains("\n"))
+    parts = F.concat(F.split("text", r"\n"), blocks(r"\n[ \t\r]*(?:\n[ \t\r]*)+"), blocks(r"\n[^\p{L}\p{N}]*\n"))
+    units = texts.select(*_ROW, F.explode_outer(F.array_distinct(parts)).alias("unit"))
     # A word and its gap take at least two characters; longer units than the upper bound in words are not expanded.
     sized = _once(units.where(F.length("unit") >= 2 * least + 1), "tokens", words(F.col("unit"))).where(F.size("tokens").between(least + 1, 1 << 24))
     # Few distinct bigrams may hide in many words, so the bound is on distinct bigrams.
@@ -84,8 +138,12 @@ def scan(documents: DataFrame, rows=None, threshold: float = THRESHOLD) -> DataF
     # One row of a unit for each bigram: repeated rows of a document would count twice, hence the distinct.
     shared = met.groupBy(*_ROW, "unit", "a", "template", "license", "b").agg(F.size(F.collect_set("gram")).alias("shared"))
     scored = shared.withColumn("dice", 2 * F.col("shared") / (F.col("a") + F.col("b"))).where(F.col("dice") >= threshold)
+    scored = scored.select(*_ROW, "template", "license", "dice", "unit")
+    if listed:
+        scored = scored.unionByName(windows(texts, listed, threshold).select(*scored.columns[:-1], F.lit(None).cast("long").alias("unit")))
+    scored = scored.groupBy(*_ROW, "template", "license").agg(F.max("dice").alias("dice"), F.collect_set("unit").alias("units"))
     best = scored.groupBy(*_ROW).agg(
-        F.countDistinct("unit").alias("n_units"), F.array_sort(F.collect_set("license")).alias("licenses"),
+        (F.size(F.array_distinct(F.flatten(F.collect_list("units")))) + F.count_if(F.size("units") == 0)).alias("n_units"), F.array_sort(F.collect_set("license")).alias("licenses"),
         F.max(F.struct("dice", (-F.col("template")).alias("first"), "license")).alias("best"),
     )
     best = best.select(F.col("doc_id").alias("b_id"), F.col("doc_key").alias("b_key"), "n_units", F.array_join("licenses", ",").alias("licenses"), F.col("best.license").alias("best_license"), F.col("best.dice").alias("best_dice"))
