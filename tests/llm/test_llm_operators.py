@@ -206,6 +206,27 @@ def test_lexed_secrets():
     assert secrets.redact("x token = abcdef12 y") == "x token = [SECRET] y" and secrets.redact(None) is None
 
 
+def test_lexed_secrets_of_any_width():
+    key = "Ab3dE6fG9hJ2kL5x"
+    lexed = lambda text: [text[a:b] for kind, a, b in secrets.scan(text) if kind == "lexed"]
+    for line in ("pwd{0}=@", "credential:{0}@", "passphrase = @", "pwd: str{0}= @", "pwd:{0}str = @", "x" * 300 + ".pwd = @", "pwd" + ".x" * 300 + " = @"):
+        for blanks in (1, 9, 60, 70_000):
+            assert lexed(line.format(" " * blanks).replace("@", f'"{key}"')) == [key]
+    for before in (0, 1000, 64_000, 65_530, 66_500, 200_000):
+        for value in (key, key * 200, key * 10_000):
+            assert lexed("x " * (before // 2) + f"passphrase = '{value}' y") == [value]
+            assert secrets.redact("x " * (before // 2) + f"pwd = {value} y") == "x " * (before // 2) + "pwd = [SECRET] y"
+
+
+def test_lexing_takes_linear_time():
+    import time
+
+    for text in ("a" * 500_000, "a " * 250_000 + "=", "a" + " " * 500_000, "a=" * 250_000, 'a="' * 170_000, "a: b " * 100_000, "a-" * 250_000, "a=" + '"' + "\\" * 499_999, "a: " + "b " * 250_000, "a:" + " " * 500_000, '"a' * 250_000):
+        began = time.process_time()
+        secrets.pairs(text + ":" if ":" not in text and "=" not in text else text)
+        assert time.process_time() - began < 8
+
+
 def test_language(spark, odd, none):
     rows = [(k, t, lang) for k, (t, lang) in enumerate([("the house and the garden are green", "en"), ("das haus und der garten sind grün", "de")] * 30)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
