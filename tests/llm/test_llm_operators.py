@@ -246,6 +246,26 @@ def test_language(spark, odd, none):
     assert empty.predict("text")[0] == "und" and langid.predict(none, model).count() == 0
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    header = "lorem ipsum dolor " * 300  # shared by all, and longer than 3000 characters
+    texts = [("the house and the garden are green A b", "en"), ("das haus und der garten sind grün ǅ İx", "de")] * 20
+    model = langid.fit(spark.createDataFrame([(k, header + t, lang) for k, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string"))
+    assert model.predict("the green house")[0] == "en" and model.predict("das grün und")[0] == "de"
+    learned = [(header + t, lang) for k, (t, lang) in enumerate(texts) if zlib.crc32(str(k).encode()) % 3 != 1]
+    tables = [defaultdict(Counter) for _ in range(5)]
+    for text, lang in learned:
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            tables[0][word][lang] += 1
+            for n in range(1, 5):
+                for a in range(len(word) + 3 - n):
+                    tables[n][f" {word} "[a : a + n]][lang] += 1
+    for got, want in zip([model.words, *model.grams], tables, strict=True):
+        want = {k: v for k, v in want.items() if sum(v.values()) >= 2}
+        freq = np.array([[v["de"], v["en"]] for v in want.values()]) + langid.WORD_PRIOR
+        logs = np.log(freq / freq.sum(0))
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], logs - logs.mean(1, keepdims=True))
+
+
 def test_toxicity(spark, odd, none):
     rng = np.random.default_rng(2)
     words = ["garden", "house", "river", "stone", "cloud", "green", "window", "paper"]

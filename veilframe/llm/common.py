@@ -83,9 +83,14 @@ def sampled(rows: DataFrame, group: str, most: int, most_groups: int = 1000) ->
     return few.withColumn("place", place).where(F.col("place") <= most).select("doc_id", group)
 
 
+def one_text_rows(rows: DataFrame, picked: DataFrame, group: str) -> DataFrame:
+    """The smallest text of each picked (doc_id, group): as many rows as were picked, whatever one id holds."""
+    return rows.join(F.broadcast(picked), [c for c in picked.columns if c in rows.columns]).groupBy("doc_id", group).agg(F.min("text").alias("text"))
+
+
 def one_text(rows: DataFrame, picked: DataFrame, group: str) -> list:
-    """The smallest text of each picked (doc_id, group), collected: as many rows as were picked, whatever one id holds."""
-    return rows.join(F.broadcast(picked), [c for c in picked.columns if c in rows.columns]).groupBy("doc_id", group).agg(F.min("text").alias("text")).collect()
+    """The rows of ``one_text_rows``, collected."""
+    return one_text_rows(rows, picked, group).collect()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,8 +2,9 @@
 
 A known word scores its log frequency in each language; an unseen word falls back to its character n-grams,
 longest first: each position takes the longest n-gram the training texts hold, and the word scores their
-mean. The model is fitted on a bounded sample of labelled texts, ``sample_docs`` per language by a hash
-of the id and ``sample_chars`` characters of each; prediction reads whole texts, a batch at a time.
+mean. The model is fitted on a bounded number of labelled texts, ``sample_docs`` per language by a hash
+of the id, each whole: words and n-grams are counted in Spark, and only those used often enough are collected.
+Prediction reads whole texts, a batch at a time.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; equal scores go to the
 language that sorts first; without any labelled text every text is ``und``. Labels that are null are not learned.
@@ -14,18 +15,19 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, one_text, sampled
+from .common import id_remainder, one_text_rows, sampled, store
 
-SAMPLE_DOCS, SAMPLE_CHARS, LONGEST, WORD_PRIOR, BACKOFF = 800, 3000, 4, 0.1, 2.0
-CACHED = 250_000
+SAMPLE_DOCS, LONGEST, WORD_PRIOR, BACKOFF = 800, 4, 0.1, 2.0
+CACHED, COUNTED = 250_000, 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -67,6 +69,51 @@ class _Longest(dict):
         return found
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (lang, word, n), a bounded number of words at a time."""
+    counts: Counter = Counter()
+
+    def flushed() -> pa.RecordBatch:
+        langs, words = zip(*counts) if counts else ((), ())
+        out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts.update((lang, m[0]) for m in _WORD.finditer(text.as_py().lower()))
+            if len(counts) >= COUNTED:
+                yield flushed()
+    yield flushed()
+
+
+class Sample:
+    """The texts to learn from, rows(doc_id, lang, text): counted in Spark; iterates as (language, text)."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def __iter__(self) -> Iterator[tuple[str, str]]:
+        return ((r.lang, r.text) for r in self.rows.orderBy("lang", "doc_id").toLocalIterator())
+
+    def languages(self) -> list[str]:
+        return sorted(r.lang for r in self.rows.select("lang").distinct().collect())
+
+    def counts(self, longest: int, least_uses: int) -> Iterator[tuple[int, str, dict[str, int]]]:
+        """(0 for a word or else the n-gram's length, feature, uses per language) of features used ``least_uses`` times or more."""
+        counted = self.rows.select("lang", "text").mapInArrow(_count, "lang string, word string, n long")
+        words = store(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+        padded = F.concat(F.lit(" "), "word", F.lit(" "))
+        ends = lambda size: F.sequence(F.lit(1), F.length(padded) - size + 1)
+        grams = lambda size: F.when(F.length(padded) >= size, F.transform(ends(size), lambda k: F.substr(padded, k, F.lit(size))))
+        features = words.select("lang", F.lit(0).alias("kind"), F.col("word").alias("feature"), "n")
+        for size in range(1, longest + 1):
+            features = features.unionByName(words.select("lang", F.lit(size).alias("kind"), F.explode(grams(size)).alias("feature"), "n"))
+        uses = features.groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "feature")
+        for r in uses.agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("total") >= least_uses).collect():
+            yield r.kind, r.feature, r.by
+
+
 class Model:
     """words and grams: feature -> log frequency per language, centred on the mean over languages."""
 
@@ -76,34 +123,18 @@ class Model:
         self._longest = _Longest(grams)
 
     @classmethod
-    def fit(cls, texts: list[tuple[str, str]], longest: int = LONGEST, least_uses: int = 2) -> Model:
-        """texts: (language, text). Words and n-grams used less than ``least_uses`` times are left to shorter n-grams."""
-        languages = sorted({lang for lang, _ in texts})
-        words: dict[str, Counter] = {lang: Counter() for lang in languages}
-        for lang, text in texts:
-            words[lang].update(_WORD.findall(text.lower()))
-        grams = [{lang: Counter() for lang in languages} for _ in range(longest)]
-        for lang in languages:
-            for word, n in words[lang].items():
-                padded = f" {word} "
-                for size in range(1, longest + 1):
-                    into = grams[size - 1][lang]
-                    for k in range(len(padded) - size + 1):
-                        into[padded[k : k + size]] += n
-
-        def table(counts: dict[str, Counter]) -> dict[str, list[float]]:
-            sums = defaultdict(int)
-            for lang in languages:
-                for key, n in counts[lang].items():
-                    sums[key] += n
-            kept = [key for key, n in sums.items() if n >= least_uses]
-            if not kept:
-                return {}
-            freq = np.array([[counts[lang][key] for lang in languages] for key in kept], float) + WORD_PRIOR
-            logs = np.log(freq / freq.sum(0))
-            return dict(zip(kept, (logs - logs.mean(1, keepdims=True)).tolist()))
-
-        return cls(languages, table(words), [table(g) for g in grams])
+    def fit(cls, texts: Sample, longest: int = LONGEST, least_uses: int = 2) -> Model:
+        """Words and n-grams used less than ``least_uses`` times are left to shorter n-grams."""
+        languages = texts.languages()
+        tables: list[dict[str, list[float]]] = [{} for _ in range(longest + 1)]
+        for kind, feature, counts in texts.counts(longest, least_uses):
+            tables[kind][feature] = [counts.get(lang, 0) for lang in languages]
+        for table in tables:
+            if table:
+                freq = np.array(list(table.values()), float) + WORD_PRIOR
+                logs = np.log(freq / freq.sum(0))
+                table.update(zip(table, (logs - logs.mean(1, keepdims=True)).tolist()))
+        return cls(languages, tables[0], tables[1:])
 
     def back_off(self, word: str) -> list[float]:
         """The score of an unseen word, from the longest known n-gram at each of its positions."""
@@ -137,12 +168,11 @@ def held_out(doc_id):
     return id_remainder(doc_id, 3) == 1
 
 
-def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from a sample, bounded as said, of the labelled rows that are not held out."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     picked = sampled(known.select("doc_id", "lang"), "lang", sample_docs)
-    rows = one_text(known.select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")), picked, "lang")
-    return Model.fit([(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id))])
+    return Model.fit(Sample(store(one_text_rows(known.select("doc_id", "lang", "text"), picked, "lang"), "sample")))
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
@@ -155,4 +185,5 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([own.predict(x) for x in texts], columns=["lang_pred", "score"])
 
+    run = run.asNondeterministic()  # else a filter on the score runs it a second time, in workers of its own
     return documents.withColumn("_language", run("text")).withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
