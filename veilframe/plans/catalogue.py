@@ -17,7 +17,7 @@ from ..operators import declutter, deid, dialogue, egress, memory, report, resid
 from ..sources.documents import pending
 
 TODAY = datetime.date(2026, 7, 10)
-MOST_PASSAGES = 5000
+MOST_PASSAGES, MOST_PASSAGE_BYTES = 5000, 32 << 20
 QUESTION = "the clinical guideline with report and les patients von der"
 
 
@@ -95,12 +95,14 @@ def known_passage_sweep(spark, sf_dir):
     """Documents that hold a test passage of 24 characters or more verbatim."""
     passages = _table(spark, sf_dir, "benchmark").where("length(text) >= 24").select("item_id", F.col("text").alias("passage"))
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    if passages.count() > MOST_PASSAGES:
-        raise ValueError("the passage list is over its bound")
-    # A bounded list: each document tests it within its row, so no pair is a row unless it matches.
-    listed = F.broadcast(passages.agg(F.collect_list(F.struct("item_id", "passage")).alias("passages")))
-    found = documents.join(listed).select("doc_id", F.explode(F.filter("passages", lambda p: F.col("text").contains(p.passage))).alias("p"))
-    return found.select("doc_id", F.col("p.item_id").alias("item_id"))
+    passages = passages.groupBy("item_id", "passage").agg(F.count("*").alias("n"))
+    size = passages.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("passage")), F.lit(0)).alias("bytes")).first()
+    # Blocks of bounded lists: each document tests a block within a row, so no pair is a row unless it matches.
+    blocks = max(1, -(-size["rows"] // MOST_PASSAGES), -(-size["bytes"] // MOST_PASSAGE_BYTES))
+    listed = passages.groupBy(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "passage", "n")).alias("passages")).drop("block")
+    # One block is small enough to broadcast; more of them meet the documents in a plain cross join.
+    found = documents.crossJoin(F.broadcast(listed) if blocks == 1 else listed).select("doc_id", F.explode(F.filter("passages", lambda p: F.col("text").contains(p.passage))).alias("p"))
+    return found.select("doc_id", F.col("p.item_id").alias("item_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("p.n")))).drop("col")
 
 
 def prompt_fold(spark, sf_dir):
