@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 #: Largest table, in rows and in bytes of its rows, that an operator here marks for broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Tasks that learn from a sample.
+SAMPLE_PARTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset and all run in one process (tests)."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         made = context._jsc.sc().getCheckpointDir()
         if made.isEmpty():
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
             made = context._jsc.sc().getCheckpointDir()
         folder = made.get()
@@ -65,15 +70,14 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def sampled(rows: DataFrame, group: str, most: int, most_groups: int = 1000) -> DataFrame:
+def sampled(rows: DataFrame, group: str, most: int, most_groups: int = 200) -> DataFrame:
     """The ``most`` ids of each group with the smallest hashes: (doc_id, group), each once however many rows repeat it.
 
-    The ids are counted first, by a sketch, so that a hash bound leaves about four times as many as wanted: what the
+    Of more groups than ``most_groups``, as a noisy label column may hold, those with the most ids count, ties by name. The
+    ids are counted first, by a sketch, so that a hash bound leaves about four times as many as wanted: what the
     ranking gets is bounded by groups and ``most``, not by the input, its tasks or the rows of one id.
     """
-    counts = rows.groupBy(group).agg(F.approx_count_distinct("doc_id").alias("n")).limit(most_groups + 1).collect()
-    if len(counts) > most_groups:
-        raise ValueError(f"more than {most_groups} values of {group}")
+    counts = rows.groupBy(group).agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), group).limit(most_groups).collect()
     if not counts:
         return rows.select("doc_id", group)
     bound = lambda n: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * most // max(n, 1))
@@ -84,13 +88,17 @@ def sampled(rows: DataFrame, group: str, most: int, most_groups: int = 1000) ->
 
 
 def one_text_rows(rows: DataFrame, picked: DataFrame, group: str) -> DataFrame:
-    """The smallest text of each picked (doc_id, group): as many rows as were picked, whatever one id holds."""
-    return rows.join(F.broadcast(picked), [c for c in picked.columns if c in rows.columns]).groupBy("doc_id", group).agg(F.min("text").alias("text"))
+    """The smallest text of each picked (doc_id, group), stored: as many rows as were picked, whatever one id holds."""
+    found = rows.join(F.broadcast(picked), [c for c in picked.columns if c in rows.columns]).groupBy("doc_id", group).agg(F.min("text").alias("text"))
+    return store(found.repartition(SAMPLE_PARTS, "doc_id"), "sample")  # else so few bytes would be one task
 
 
-def one_text(rows: DataFrame, picked: DataFrame, group: str) -> list:
-    """The rows of ``one_text_rows``, collected."""
-    return one_text_rows(rows, picked, group).collect()
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as make it unlike any taken one, in whatever case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,8 +7,9 @@ of the id, each whole: words and n-grams are counted in Spark, and only those us
 Prediction reads whole texts, a batch at a time.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; equal scores go to the
-language that sorts first; without any labelled text every text is ``und``. Labels that are null are not learned.
-Rows that repeat an id are predicted like any other, but an id is learned once per language, by its smallest text; further columns are ignored.
+language that sorts first; without any labelled text every text is ``und``. Labels that are null are not learned, and
+of more than 200 labels those with the most ids are. Rows that repeat an id are predicted like any other, but an id is learned once
+per language, by its smallest text. Further columns stay, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, one_text_rows, sampled, store
+from .common import fresh, id_remainder, one_text_rows, sampled, store
 
 SAMPLE_DOCS, LONGEST, WORD_PRIOR, BACKOFF = 800, 4, 0.1, 2.0
 CACHED, COUNTED = 250_000, 100_000
@@ -172,18 +173,20 @@ def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from a sample, bounded as said, of the labelled rows that are not held out."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     picked = sampled(known.select("doc_id", "lang"), "lang", sample_docs)
-    return Model.fit(Sample(store(one_text_rows(known.select("doc_id", "lang", "text"), picked, "lang"), "sample")))
+    return Model.fit(Sample(one_text_rows(known.select("doc_id", "lang", "text"), picked, "lang")))
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with lang_pred and score."""
+def predict(documents: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """documents with the predicted language and its score, in columns of these names."""
     shipped = documents.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("language string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*shipped.value)
         for texts in batches:
-            yield pd.DataFrame([own.predict(x) for x in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([own.predict(x) for x in texts], columns=["language", "score"])
 
     run = run.asNondeterministic()  # else a filter on the score runs it a second time, in workers of its own
-    return documents.withColumn("_language", run("text")).withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    held = fresh("language", documents.columns)
+    found = documents.withColumn(held, run("text"))
+    return found.withColumns({names[0]: F.col(f"{held}.language"), names[1]: F.col(f"{held}.score")}).drop(held)
