@@ -25,24 +25,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links(u, v), u <> v, of any orderable type -> (node, root): root is the least node that node reaches.
 
     Minima are pre-aggregated before their shuffle and joined back, so a node with very many links
-    is split by the skew join instead of landing in one task. Each round is a written table. Nodes
-    without links are not listed.
+    is split by the skew join instead of landing in one task. Each round is a written table, and rounds go on until
+    nothing changes: their number grows with the logarithm of the longest chain. Nodes without links are not listed.
     """
     edges = store(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     before = _digest(edges)
-    for _ in range(most_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         after = store(_small_star(_large_star(edges)), "links")
         discard(edges)
         edges, now = after, _digest(after)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"links have not settled in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
