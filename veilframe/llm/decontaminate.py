@@ -23,7 +23,6 @@ from .common import ascii_lower, small, store
 WINDOW = 10
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ROW = ["doc_id", "doc_key"]
-_NO_ID = 1 << 33
 
 
 def words(text: Column) -> Column:
@@ -32,9 +31,8 @@ def words(text: Column) -> Column:
 
 
 def row_key(doc_id: Column, doc_key: Column) -> tuple[Column, Column]:
-    """A row's id and the hash of its text, without nulls: a null id is 0 with a key out of the others' range, so that plain equi-joins hold for it too."""
-    key = doc_key.cast("long")
-    return F.coalesce(doc_id, F.lit(0)).cast("long").alias("row_id"), F.when(doc_id.isNull() & (key < _NO_ID >> 1), key + _NO_ID).otherwise(key).alias("row_key")
+    """A row's id and the 64-bit hash of its text, without nulls: a null id is 0 with an odd key, where all others are even, so that plain equi-joins hold for it too."""
+    return F.coalesce(doc_id, F.lit(0)).cast("long").alias("row_id"), doc_key.bitwiseAND(F.lit(-2)).bitwiseOR(doc_id.isNull().cast("long")).alias("row_key")
 
 
 class Index:
@@ -50,7 +48,7 @@ class Index:
         self.items = store(used.join(terms, "term").select("item", "item_id", "length", "off", "tid"), "item_words")
         self.item_rows = self.items.count()
         # The empty string ends every document: its position is the number of words.
-        row_id, key = row_key(F.col("doc_id"), F.hash("text"))
+        row_id, key = row_key(F.col("doc_id"), F.xxhash64("text"))
         # Keys and words come before the explode, or the text would be carried and hashed again for each of its words; the
         # outer form, on arrays that are never empty, spares a filter that would split every text a second time.
         rows = documents.select(row_id.alias("doc_id"), key.alias("doc_key"), F.array_append(words(F.col("text")), F.lit("")).alias("words"))
@@ -112,7 +110,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW)
     which = found.groupBy(*_ROW).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     out = index.documents().join(hit.join(which, _ROW), _ROW, "left")
     return out.select(
-        F.when(F.col("doc_key") < _NO_ID >> 1, F.col("doc_id")).alias("doc_id"), "doc_key", "n_words",
+        F.when(F.col("doc_key") % 2 == 0, F.col("doc_id")).alias("doc_id"), "doc_key", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
