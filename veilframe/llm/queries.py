@@ -58,7 +58,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             rows = []
-            for conv, ids, mask in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for conv, ids, mask in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                ids, mask = ids.values.to_numpy(), mask.values.to_numpy()
                 text = chat.written(ids)
                 turns, learned = chat.read_back(text), chat.masked_text(ids, mask)
                 rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned), len(text)))
@@ -102,6 +103,20 @@ QUERIES = {
 _WORDS = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')".format(r"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 ORACLES = {
+    # Valid vectors of the most frequent length; products are added in the order of the dimensions.
+    "op1_nearest_neighbours": """
+        with sound as (
+            select vec_id, embedding::double[] as v from embeddings
+            where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        fit as (select distinct vec_id, v from sound where len(v) = (select len(v) from sound group by 1 order by count(*) desc, 1 limit 1)),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, max(list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b)) as score
+            from fit q join fit c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id group by all
+        )
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+        from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+    """,
     "op2_decontamination": f"""
         with docs as (select doc_id, {_WORDS} as words from documents),
         items as (select item_id, {_WORDS} as words from benchmark),
@@ -117,6 +132,7 @@ ORACLES = {
                sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from docs left join marked using (doc_id) left join named using (doc_id)
     """,
+    "op7_licenses": licenses.sql(),
     "op6_chat": r"""
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
