@@ -1,11 +1,13 @@
 """Residue gate: what de-identification may have missed, as (line, pattern, action) hits of a document.
 
 A document's lines are an array in its row; a line's surroundings are slices of it, so hits need no shuffle.
-Only lines that a rule matches pay for their surroundings.
+Every rule is first asked once of the whole text: a document that no rule can match pays for nothing else, and in the others only the
+rules that can match are asked of each line. Only lines that a rule matches pay for their surroundings.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +16,6 @@ from ..functions import fixed
 from ..functions.text import computed, has, java, let, lines, strip
 
 
-_NEED_DIGIT = ("DOB", "STREET", "PLZ_CITY", "PHONE", "DIGIT_RUN", "KVNR")
-
-
 class PolicyError(ValueError):
     pass
 
@@ -63,11 +62,40 @@ def _adjacent_name(all_lines: Column, line: Column, i: Column) -> Column:
     return glued | (has(line, fixed.LONE_WORD) & ~ordinary & (bare(i - 1) | bare(i + 1)))
 
 
-def _rules(all_lines: Column, line: Column, i: Column, retained: Column) -> dict[str, Column]:
+def _holds(text: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+
+
+def _traces(text: Column) -> Column:
+    """A flag for each rule: can it match a line of the text? By plain words that it needs, so it is true too often, never too seldom.
+
+    Lower case finds every spelling of these words but those with a character that only case folding makes a letter of them; a text
+    with such a one is asked for everything.
+    """
+
+    def flags(known: Column) -> Column:
+        low, digit, born, token = (known[x] for x in ("low", "digit", "born", "token"))
+        any_of = lambda *words: _holds(low, words)
+        ends = [end.replace("\\.?", dot) + blank for end in fixed.STREET_END.split("|") for dot in ("", ".") for blank in " \t"]
+        titled = [word + after for word in ("dr", "prof") for after in ". \t"]
+        needed = {
+            "CORRUPTED_TOKEN": any_of("[", "]"), "DOB": digit & born, "PERSON_HEADER": any_of("patienten", "seite"), "STREET": digit & any_of(*dict.fromkeys(ends)),
+            "PLZ_CITY": digit & has(low, (r"\d{2}[ \t]?\d{3}[ \t]", "")), "PHONE": digit & any_of("tel", "fax"), "EMAIL": any_of("@"), "DIGIT_RUN": digit & has(low, (r"\d{6}", "")),
+            "KVNR": digit & low.rlike("[a-z][0-9]{9}"), "CASE_NUMBER": any_of("fall-nr", "fallnummer", "patienten-nr") | (any_of("pat", "aufn") & low.rlike(r"(?U)(?:pat|aufn)\.?\s*-?\s*nr")),
+            "NAME_CUE": any_of("arzt", "ärztin", "frau", "herr", "geehrte", "fr.", "hr.", "gez.", *titled),
+            "DOB_MARKER": born, "PARTIAL_NAME": any_of("*age") | (born & token), "TOKEN_ADJACENT_NAME": token | any_of("addr_"),
+        }
+        return F.struct(*((known["odd"] | test).alias(name) for name, test in needed.items()))
+
+    def common(low: Column) -> Column:
+        return F.struct(low.alias("low"), has(low, (r"\d", "")).alias("digit"), low.contains("geb").alias("born"), low.contains("patient_").alias("token"), _holds(low, ("\u017f", "\u212a", "\u0131", "i\u0307")).alias("odd"))
+
+    return let(let(F.lower(text), common), flags)
+
+
+def _rules(all_lines: Column, line: Column, i: Column, retained: Column, possible: Column) -> dict[str, Column]:
     """Whether each rule reports the line, in the order of reporting."""
-    # Rules that need a digit first ask for one: most lines of prose have none.
-    digit = has(line, (r"\d", ""))
-    found = {name: digit & has(line, pattern) if name in _NEED_DIGIT else has(line, pattern) for name, pattern in fixed.RESIDUE.items()}
+    found = {name: possible[name] & has(line, pattern) for name, pattern in fixed.RESIDUE.items()}
     for name in fixed.EXEMPT_BY_PLACE:
         found[name] = found[name] & ~is_institutional(all_lines, i)
     mailbox = strip(F.regexp_extract(line, java((fixed.MAIL, "i")), 0))
@@ -75,11 +103,11 @@ def _rules(all_lines: Column, line: Column, i: Column, retained: Column) -> dict
     found["DIGIT_RUN"] = found["DIGIT_RUN"] & ~(has(line, fixed.CONTACT_OR_NUMBER) & is_institutional(all_lines, i))
     marker, where = has(line, fixed.BIRTH_MARKER), F.regexp_instr(line, F.lit(java(fixed.BIRTH_MARKER)))
     end = where + F.length(F.regexp_extract(line, java(fixed.BIRTH_MARKER), 0))
-    found["DOB_MARKER"] = marker & ~has(F.substr(line, end.cast("int"), F.lit(24)), fixed.SAFE_AFTER_BIRTH)
+    found["DOB_MARKER"] = possible["DOB_MARKER"] & marker & ~has(F.substr(line, end.cast("int"), F.lit(24)), fixed.SAFE_AFTER_BIRTH)
     before = F.substr(line, F.lit(1), F.greatest(F.regexp_instr(line, F.lit(java(fixed.SWEPT_BIRTH))) - 1, F.lit(0)).cast("int"))
     swept = has(line, fixed.SWEPT_BIRTH) & has(F.regexp_replace(before, java(fixed.ANY_TOKEN), ""), fixed.CAPITALISED)
-    found["PARTIAL_NAME"] = (marker & has(line, fixed.PARTIAL_NAME)) | swept
-    found["TOKEN_ADJACENT_NAME"] = _adjacent_name(all_lines, line, i)
+    found["PARTIAL_NAME"] = possible["PARTIAL_NAME"] & ((marker & has(line, fixed.PARTIAL_NAME)) | swept)
+    found["TOKEN_ADJACENT_NAME"] = possible["TOKEN_ADJACENT_NAME"] & _adjacent_name(all_lines, line, i)
     return found
 
 
@@ -94,19 +122,25 @@ def hits(text: Column, policy: dict[str, str] | None = None, retained: Column |
     action = lambda name: F.when(F.array_contains(overrides, name), "report").otherwise(actions[name])
     hit = lambda number, name: F.struct(number.cast("int").alias("line"), F.lit(name).alias("pattern"), action(name).alias("action"))
 
-    def of_line(all_lines: Column, line: Column, i: Column) -> Column:
-        rules = {name: test for name, test in _rules(all_lines, line, i, retained).items() if actions[name] != "ignore"}
-        ordered = [name for name in fixed.POLICY if name in rules]
-        return F.filter(F.array(*(F.when(rules[name], hit(i + 1, name)) for name in ordered)), lambda x: x.isNotNull()) if ordered else F.array()
+    names = [name for name in fixed.POLICY if actions[name] != "ignore"]
+
+    def of_line(all_lines: Column, line: Column, i: Column, possible: Column) -> Column:
+        rules = _rules(all_lines, line, i, retained, possible)
+        return F.filter(F.array(*(F.when(rules[name], hit(i + 1, name)) for name in names)), lambda x: x.isNotNull())
 
-    def of_lines(all_lines: Column) -> Column:
-        return F.flatten(F.transform(all_lines, lambda line, i: of_line(all_lines, line, i)))
+    def of_lines(possible: Column) -> Column:
+        found = let(lines(text), lambda all_lines: F.flatten(F.transform(all_lines, lambda line, i: of_line(all_lines, line, i, possible))))
+        any_rule = F.lit(False)
+        for name in names:
+            any_rule = any_rule | possible[name]
+        return F.when(any_rule, found).otherwise(nothing)
 
     text = F.coalesce(text, F.lit(""))
-    found = let(lines(text), of_lines)
+    nothing = F.array().cast("array<struct<line:int,pattern:string,action:string>>")
+    found = let(_traces(text), of_lines) if names else nothing
     if actions["CORRUPTED_TOKEN"] != "ignore":
         uneven = F.regexp_count(text, F.lit(r"\[")) != F.regexp_count(text, F.lit(r"\]"))
-        found = F.concat(found, F.when(uneven, F.array(hit(F.lit(1), "CORRUPTED_TOKEN"))).otherwise(F.slice(found, 1, 0)))
+        found = F.concat(found, F.when(uneven, F.array(hit(F.lit(1), "CORRUPTED_TOKEN"))).otherwise(nothing))
     return found
 
 
