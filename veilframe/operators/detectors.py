@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,41 @@ def chunked(ask: Callable[[str], object], size: int = CHUNK, overlap: int = OVER
     return detect
 
 
+# The kinds that a prompted model may name.
+PROMPTED_KINDS = ["PERSON", "ADDRESS", "DOB", "INSURANCE", "EMAIL", "PHONE"]
+PROMPT = "List every piece of personal data in the text, exactly as written, as JSON: an object with entities, a list of objects with kind and value. Kinds: " + ", ".join(PROMPTED_KINDS) + "."
+
+
+def reply_schema() -> dict:
+    """The JSON schema that a prompted model's reply must follow."""
+    entity = {"type": "object", "properties": {"kind": {"type": "string", "enum": PROMPTED_KINDS}, "value": {"type": "string"}}, "required": ["kind", "value"]}
+    return {"type": "object", "properties": {"entities": {"type": "array", "items": entity}}, "required": ["entities"]}
+
+
+def prompted(fetch: Callable[[dict], object], model: str, size: int = CHUNK, overlap: int = OVERLAP) -> Detector:
+    """A detector over a model that follows a schema: fetch takes a request and returns the reply's content. Temperature 0, a request a chunk."""
+    if not model:
+        raise ValueError("a prompted detector needs a model")
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("chunks need 0 <= overlap < size")
+    body = {"model": model, "stream": False, "format": reply_schema(), "options": {"temperature": 0}}
+    return chunked(lambda part: fetch(body | {"messages": [{"role": "system", "content": PROMPT}, {"role": "user", "content": part}]}), size, overlap)
+
+
+def configured(options, *, fetch: Callable[[dict], object] | None = None, predict=None) -> Detector | None:
+    """The detector that a ``config.Detection`` asks for: none, one or the union of several. What a named model needs must be injected."""
+    found = []
+    if options.zero_shot_model:
+        if predict is None:
+            raise RuntimeError("a zero-shot model is configured, but nothing to run it")
+        found.append(zero_shot(predict, size=options.chunk_size, overlap=options.chunk_overlap))
+    if options.prompted_model:
+        if fetch is None:
+            raise RuntimeError("a prompted model is configured, but nothing to ask it")
+        found.append(prompted(fetch, options.prompted_model, options.chunk_size, options.chunk_overlap))
+    return union(*found)
+
+
 def zero_shot(predict: Callable[[str, list[str], float], Iterable[dict]], threshold: float = GLINER_THRESHOLD, size: int = CHUNK, overlap: int = OVERLAP) -> Detector:
     """A detector over a span model: predict takes text, labels and threshold and returns dicts with label and text."""
 
@@ -111,8 +147,6 @@ def reply_column(reply: Column) -> Column:
 
 def detect(documents: DataFrame, detector: Detector) -> DataFrame:
     """documents with entities, array of (kind, value), a batch at a time."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<kind:string,value:string>>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"kind": k, "value": v} for k, v in detector(t or "")])

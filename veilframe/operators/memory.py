@@ -76,6 +76,42 @@ def search(index_table: DataFrame, query: str, subject: str, k: int = TOP) -> Da
     return mine.withColumn("score", F.round(score, 12)).orderBy(F.desc("score"), "ord").limit(k).select("path", "subject", "title", "summary", "source_sha256", "score")
 
 
+def search_many(index_table: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+    """queries(subject, query), one a subject -> (subject, rank, path, score): the k best records of each query's own subject."""
+    asked = histogram(queries.select("subject", "query"), "subject", "query").groupBy(F.col("subject").alias("asker")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("wanted"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("query_norm"))
+    mine = index_table.join(asked, F.col("subject") == F.col("asker"))
+    slots = F.map_keys(F.coalesce("counts", F.create_map().cast("map<int,bigint>")))
+    dot = F.aggregate(slots, F.lit(0).cast("long"), lambda a, s: a + F.element_at("counts", s) * F.coalesce(F.try_element_at("wanted", s), F.lit(0)))
+    scored = mine.select("subject", "path", "ord", F.round(F.coalesce(F.try_divide(dot, F.col("norm") * F.col("query_norm")), F.lit(0.0)), 9).alias("score"))
+    place = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("score"), "ord"))
+    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("subject", "rank", "path", "score")
+
+
+def texts_of(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """hits(subject, path, …) with the text of each record, of its own subject."""
+    return hits.join(documents.select("subject", "path", "text"), ["subject", "path"])
+
+
+def records(documents: DataFrame) -> DataFrame:
+    """documents(subject, path, …) with ord, their place in a scan by depth and then by path."""
+    place = Window.partitionBy("subject").orderBy(F.size(F.split("path", "/")), "path")
+    return documents.withColumn("ord", F.row_number().over(place).cast("long"))
+
+
+def subjects(documents: DataFrame) -> DataFrame:
+    """(subject) of all documents, by name."""
+    return documents.select("subject").distinct().orderBy("subject")
+
+
+def opened(spark, path: str, documents: DataFrame) -> DataFrame:
+    """The stored index, brought up to date in memory; built and written where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return synced(spark.read.parquet(path), documents)
+    index(documents).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def top_per_scope(scored: DataFrame, scope: str, key: str, k: int = TOP) -> DataFrame:
     """(scope, key, score, rank): the k best of every scope, ties to the smaller key; row_number's bound prunes before the shuffle."""
     place = F.row_number().over(Window.partitionBy(scope).orderBy(F.desc("score"), key))

@@ -125,3 +125,8 @@ def monitor(requested: DataFrame, timelines: DataFrame) -> DataFrame:
     """requested(subject) -> (patient_id, latest_timeline, strategy_path), a row for each, an empty timeline where there is none."""
     joined = requested.join(timelines.select("subject", F.col("body").alias("latest_timeline")), "subject", "left")
     return joined.select(F.col("subject").alias("patient_id"), F.coalesce("latest_timeline", F.lit("")).alias("latest_timeline"), F.concat(F.lit("patients/"), "subject", F.lit("/strategy.md")).alias("strategy_path"))
+
+
+def schedule(requested: DataFrame) -> DataFrame:
+    """(job, cadence, patient_ids): one row, what a scheduler has to know. The ids are those that were asked for."""
+    return requested.agg(F.array_sort(F.collect_set("subject")).alias("patient_ids")).select(F.lit("monitor").alias("job"), F.lit("manual_or_scheduled").alias("cadence"), "patient_ids")

@@ -70,6 +70,40 @@ def structured(documents: DataFrame, reply: str | None = None) -> DataFrame:
     return computed(base, "_model", coerce(F.col(reply))).withColumn("record", F.when(F.col("_model").isNull(), F.col("record")).otherwise(merge(F.col("record"), F.col("_model")))).drop("_model")
 
 
+#: What a structuring model is told; its answer is read by ``coerce``.
+PROMPT = (
+    "From a de-identified medical text, give one JSON object: lists of strings timeline, problems, meds, labs; strings document_date, document_topic, document_sender, doc_type, specialty, examination_date, institution, examiner, summary; "
+    "and an object sections with the strings kontext, untersuchung, befund, beurteilung, empfehlung. Dates are YYYY-MM-DD. Keep every token in brackets as it is, add nothing, restore nothing, and name no person as topic or sender."
+)
+
+
+def asked(documents: DataFrame, ask, attempts: int = 2) -> DataFrame:
+    """documents(text, …) with reply: a structuring model's answer, or null after so many failed or unusable ones. ask(prompt, JSON) -> text."""
+    import json
+
+    from ..functions.text import python
+
+    fence = python(fixed.FENCE)
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            for _ in range(attempts):
+                try:
+                    reply = ask(PROMPT, json.dumps({"text": text or ""}, ensure_ascii=False))
+                    fenced = fence.search(reply)
+                    found = json.loads(fenced[1] if fenced else reply)
+                    if isinstance(found, dict) and all(isinstance(found.get(x) or [], list) for x in LISTS):
+                        return json.dumps(found, ensure_ascii=False)
+                except Exception:  # the deterministic record stays
+                    continue
+            return None
+
+        return texts.map(one)
+
+    return computed(documents, "reply", run.asNondeterministic()("text"))
+
+
 @F.pandas_udf(StringType())
 def _ascii(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii"))
