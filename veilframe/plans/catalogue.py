@@ -15,6 +15,8 @@ from ..functions import fixed
 from ..functions.text import chunks, has, lines, summary
 from ..operators import declutter, deid, dialogue, egress, memory, report, residue, structure, vault
 from ..sources.documents import pending
+from ..sources.scratch import store
+from . import records
 
 TODAY = datetime.date(2026, 7, 10)
 MOST_PASSAGES, MOST_PASSAGE_BYTES = 5000, 32 << 20
@@ -155,7 +157,7 @@ def deid_ledger(spark, sf_dir):
 
 
 def deid_leak_check(spark, sf_dir):
-    made = _rewritten(spark, sf_dir).select("subject", "seq", "doc_id", "text", "new_tokens")
+    made = store(_rewritten(spark, sf_dir).select("subject", "seq", "doc_id", "text", "new_tokens"), "rewritten")
     return vault.leak_counts(vault.entries(made), made).agg(F.sum("n_leaks").alias("n_leaks"), F.sum((F.col("n_leaks") > 0).cast("long")).alias("n_documents"))
 
 
@@ -165,7 +167,7 @@ QUERIES = {
         declutter_line_profile, declutter_text_hash, residue_digit_run, residue_email, residue_phone_shape, residue_policy_summary, doc_index, token_hist, memory_search, vector_topk_scoped, chunk_windows,
         egress_guard, known_passage_sweep, prompt_fold, request_metrics, inbox_pending, timeline_merge, monitor, deid_tokens, deid_vault, deid_ledger, deid_leak_check,
     )
-}
+} | records.QUERIES
 
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _LINES = f"(select doc_id, case when s[-1] = '' then s[:-2] else s end as lines from (select doc_id, string_split_regex(coalesce(text, ''), '{_LINE_END}') as s from documents))"
@@ -185,6 +187,7 @@ _JUDGED = rf"""
             when again and (contact or regexp_matches(c, '(?i)\b\d{{5}}\s+[A-ZÄÖÜ]|\bPostfach\b|stra[sß]e\s+\d+')) then 'repeat' end as reason
         from marked)
 """
+_ENDED = "documents as (select doc_id, concat_ws(chr(10), text, 'Seite 1 von 3', 'IBAN ' || doc_id, 'www.example.org') as text from documents), "
 _COUNT = "cast(count(*) filter (where {}) as bigint)"
 _DIGITS, _MAIL_SIGN = r"(?:^|[^0-9])[0-9]{6,}(?:[^0-9]|$)", r"[\p{L}\p{M}\p{N}_]@[\p{L}\p{M}\p{N}_]"
 
@@ -197,7 +200,8 @@ _TERMS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{M}}\p{{N}}_-
 _SLOT = "cast(('0x' || right(sha1({}), 2))::integer % 128 as integer)"
 _HIST = f"(select doc_id, {_SLOT.format('term')} as slot, count(*) as n from (select doc_id, unnest({_TERMS.format('text')}) as term from documents) group by all)"
 
-ORACLES = {
+ORACLES = records.ORACLES | {
+    "dropped_lines": f"with {_ENDED}{_JUDGED.strip().removeprefix('with ')} select doc_id, reason, count(*) as n from judged where reason is not null group by all",
     "declutter_line_profile": f"""{_JUDGED}
         select documents.doc_id, {_COUNT.format('n is not null')} as n_lines, {_COUNT.format('again')} as n_repeated, {_COUNT.format('contact')} as n_contact_like, {_COUNT.format('n is not null and reason is null')} as n_kept,
                {', '.join(_COUNT.format(f"reason = '{r}'") + f' as n_{r}' for r in declutter.REASONS)}
