@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small
+from .common import ascii_lower, small, store
 
 THRESHOLD = 0.8
 
@@ -170,7 +170,8 @@ def scan(documents: DataFrame, rows=None, threshold: float = THRESHOLD) -> DataF
     cut = _once(keyed, "tokens", words(F.col("text")))
     cut = _once(cut, "present", F.array_intersect("tokens", _constant(vocabulary, "array<string>")))
     fewest = min(len(r.words) - (r.size - least_shared(r.size, threshold) + 1) for r in listed)
-    texts = _once(cut.where(F.size("present") >= fewest), "candidates", _candidates(F.col("present"), listed, threshold)).where(F.size("candidates") > 0).drop("present")
+    texts = _once(cut.where(F.size("present") >= fewest), "candidates", _candidates(F.col("present"), listed, threshold)).where(F.size("candidates") > 0)
+    texts = store(texts.select(*_ROW, "text", "tokens", "candidates"), "license_texts")  # units and windows both read these few
     # Lines, and blocks of several lines between blank ones, or between ones without a word.
     blocks = lambda parted: F.filter(F.split("text", parted), lambda b: b.contains("\n"))
     parts = F.concat(F.split("text", r"\n"), blocks(r"\n[ \t\r]*(?:\n[ \t\r]*)+"), blocks(r"\n[^\p{L}\p{N}]*\n"))
