@@ -39,7 +39,7 @@ def test_stages(spark, stages):
     _, before, after = stages[3]
     assert list(before.sort_values("doc_id").text.map(secrets.redact)) == list(after.sort_values("doc_id").text)
     _, before, after = stages[4]
-    assert after.length.sum() == sum(len(encoder().exact(t)) + 1 for t in before.text)
+    assert after.length.sum() == sum(len(encoder(added=True)(t)) + 1 for t in before.text)
 
 
 def test_decontamination_stage(spark, stages):
@@ -80,3 +80,26 @@ def test_near_dedup_keeps_a_row_of_every_component_where_ids_repeat(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", n) for n, (k, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted((str(r.doc_id), r.text, r.n_chars) for r in p.near_dedup(spark, docs, SF).collect())
     assert kept == sorted((str(texts[n][0]), texts[n][1], n) for n in [0, 1, 4, 6, 7, *range(8, 48)])
+
+
+def test_columns_named_like_the_stages_own_and_maps_survive(spark):
+    import corpus_pipeline as p
+    from pyspark.sql import functions as F
+
+    from veilframe.llm.common import table
+
+    docs = table(spark, SF, "documents").limit(60).withColumns({"score": F.lit(7.0), "lang_pred": F.lit("x"), "id": F.lit("i"), "key": F.lit("k"), "language": F.lit("y"), "text_hash": F.lit(1), "m": F.create_map(F.lit("a"), F.col("doc_id"))})
+    docs = docs.union(docs.limit(5))
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[-7:] == ["score", "lang_pred", "id", "key", "language", "text_hash", "m"]
+    rows = docs.collect()
+    assert rows and {(r.score, r.lang_pred, r.id, r.key, r.language, r.text_hash) for r in rows} == {(7.0, "x", "i", "k", "y", 1)} and all(r.m == {"a": r.doc_id} for r in rows)
+
+
+def test_the_language_stage_predicts_once(spark):
+    import corpus_pipeline as p
+    from veilframe.llm.common import table
+
+    plan = p.language_id(spark, table(spark, SF, "documents"), SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
