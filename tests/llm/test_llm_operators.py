@@ -741,3 +741,18 @@ def test_licenses_inside_longer_units(spark):
     # Wherever a notice stands, also over the border of two pieces.
     lap = spark.createDataFrame([(k, "x y " * 2036 + "z " * k + listed("MIT", 2) + " q" * 200) for k in range(0, 200, 9)], "doc_id long, text string")
     assert {(r.licenses, r.best_dice) for r in licenses.scan(lap).collect()} == {("MIT", 1.0)}
+
+
+def test_language_scores_do_not_depend_on_what_the_caches_hold(monkeypatch):
+    words = {"der": [1.0, -1.0], "the": [-1.0, 1.0]}
+    grams = [{"d": [0.5, -0.5], "t": [-0.5, 0.5]}, {"de": [0.7, -0.7], "th": [-0.7, 0.7]}]
+    text = " ".join(f"d{chr(97 + k % 26)}{chr(97 + k // 26)} the" for k in range(200)) + " der"
+    wide = langid.Model(["de", "en"], words, grams)
+    monkeypatch.setattr(langid, "CACHED_BYTES", 20 * (16 + langid.WORD_BYTES))
+    narrow, used = langid.Model(["de", "en"], words, grams), langid.Model(["de", "en"], words, grams)
+    assert (wide.cached, narrow.cached) == (langid.CACHED, 20)
+    for other in ("thx tho", "dab " * 50, text[:700]):
+        used.predict(other)
+    assert narrow.predict(text) == used.predict(text)
+    assert narrow.predict(text)[0] == wide.predict(text)[0]
+    assert narrow.predict(text)[1] == pytest.approx(wide.predict(text)[1], abs=1e-12)

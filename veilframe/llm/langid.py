@@ -20,7 +20,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ from .common import fresh, id_remainder, one_text_rows, sampled, store
 
 SAMPLE_DOCS, LONGEST, WORD_PRIOR, BACKOFF = 800, 4, 0.1, 2.0
 CACHED, COUNTED = 250_000, 100_000
+#: What a worker may spend on unseen words: their scores, and about so many bytes for each word itself.
+CACHED_BYTES, WORD_BYTES = 40 << 20, 150
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -43,7 +44,7 @@ class _Rows(dict):
     def __init__(self, model: Model):
         super().__init__((word, k) for k, word in enumerate(model.words))
         self.model, self.known = model, len(model.words)
-        self.scores = np.zeros((self.known + CACHED, len(model.languages)))
+        self.scores = np.zeros((self.known + model.cached, len(model.languages)))
         if self.known:
             self.scores[: self.known] = list(model.words.values())
 
@@ -120,6 +121,7 @@ class Model:
 
     def __init__(self, languages: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
         self.languages, self.words, self.grams = languages, words, grams
+        self.cached = max(1, min(CACHED, CACHED_BYTES // (8 * len(languages) + WORD_BYTES)))
         self._rows: _Rows | None = None
         self._longest = _Longest(grams)
 
@@ -144,16 +146,18 @@ class Model:
         share = BACKOFF * max(1, len(found))
         return [sum(x) / share for x in zip(*found)] if found else [0.0] * len(self.languages)
 
-    def _total(self, words: list[str]) -> np.ndarray:
+    def _part(self, words: list[str]) -> np.ndarray:
         if self._rows is None:
             self._rows = _Rows(self)
         try:
             return self._rows.scores[np.fromiter(map(self._rows.__getitem__, words), np.intp, len(words))].sum(0)
-        except OverflowError:  # start the further rows anew; a text of more words than they hold goes in two halves
-            self._rows = _Rows(self)
-            if len(words) <= CACHED:
-                return self._total(words)
-            return self._total(words[: len(words) // 2]) + self._total(words[len(words) // 2 :])
+        except OverflowError:  # start the further rows anew, which hold as many words as a part has
+            self._rows = None
+            return self._part(words)
+
+    def _total(self, words: list[str]) -> np.ndarray:
+        """The scores' sum, added in parts of fixed size, so that it does not depend on what the rows hold."""
+        return sum(self._part(words[k : k + self.cached]) for k in range(0, len(words), self.cached))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language, and its share of the likelihood, damped by the root of the number of words."""
@@ -180,11 +184,12 @@ def predict(documents: DataFrame, model: Model, names: tuple[str, str] = ("lang_
     """documents with the predicted language and its score, in columns of these names."""
     shipped = documents.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))
 
-    @F.pandas_udf("language string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<language string, score double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*shipped.value)
         for texts in batches:
-            yield pd.DataFrame([own.predict(x) for x in texts], columns=["language", "score"])
+            found = [own.predict(x.as_py()) for x in texts]  # one text at a time becomes a string
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["language", "score"])
 
     run = run.asNondeterministic()  # else a filter on the score runs it a second time, in workers of its own
     held = fresh("language", documents.columns)
