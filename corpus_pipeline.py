@@ -16,6 +16,15 @@ from veilframe.llm.common import fresh, small, store, table
 #: A prediction below this share of the likelihood is no language we know.
 LEAST_LANGUAGE_SCORE = 0.4
 
+#: Bytes of a batch that goes to a Python worker; several exist at once, in the JVM and in the worker.
+BATCH_BYTES, _BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _modest(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES for the stages that run Python, unless the session sets its own. Rows do not depend on it."""
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognised language; a missing lang is filled in.
@@ -23,6 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without a letter, have no language and go; repeated rows and null ids are judged like any
     other; no documents give none. Further columns stay, whatever their names.
     """
+    _modest(spark)
     language, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
     found = langid.predict(docs, langid.fit(docs), (language, score))
     kept = found.where((F.col(language) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE))
@@ -37,6 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts with one id the row that is smallest as JSON. Null texts are empty, and empty ones are near each other. Further
     columns stay, of whatever type.
     """
+    _modest(spark)
     text, check = fresh("text_hash", docs.columns), fresh("text_check", docs.columns)
     key = ["doc_id", text, check]  # an id and 96 bits of its text
     keyed = docs.withColumns({text: F.xxhash64("text"), check: F.hash("text")})
@@ -68,6 +79,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, secrets replaced, and n_chars as long as the texts; null texts stay null. No row goes."""
+    _modest(spark)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
@@ -79,6 +91,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents in sequences of 2048 tokens; a null or empty text is its end id alone, repeated rows are packed each."""
+    _modest(spark)
     return packing.pack(docs)
 
 
