@@ -103,3 +103,16 @@ def test_the_language_stage_predicts_once(spark):
 
     plan = p.language_id(spark, table(spark, SF, "documents"), SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_batches_are_bounded_unless_the_session_bounds_them(spark):
+    import corpus_pipeline as p
+
+    key = p._BATCH_KEY
+    spark.conf.unset(key)
+    p._modest(spark)
+    assert spark.conf.get(key) == str(p.BATCH_BYTES)
+    spark.conf.set(key, "3m")
+    p._modest(spark)
+    assert spark.conf.get(key) == "3m"
+    spark.conf.unset(key)
