@@ -400,6 +400,28 @@ def test_lexed_pairs_of_generated_sources(made):
     assert "".join(lexed(source)) == "".join(sensitive)
 
 
+def test_lexed_constants_of_many_parts():
+    keys = [f"Zx{k:06d}!kQ#vL" for k in range(300)]
+    listed = "parts = [" + ", ".join(f"'{key}'" for key in keys) + "]\n"
+    assert lexed(listed + "db_pwd = parts") == lexed(listed + "more = parts\ndb_pwd = more + parts") == keys
+    assert lexed(listed.replace(", ", " + ") + "db_pwd = parts") == keys
+    grown = f"a = '{keys[0]}'\n" + "".join(f"a = a + '{key}'\n" for key in keys[1:])
+    assert lexed(grown + "db_pwd = a") == keys and lexed(grown + "title = a") == []
+    assert lexed("a = 'Zx9!'\n" + "b = 'kQ2#'\nc = 'vL8m'\nd = a + b\ne = b + c\ndb_pwd = d + e + a") == ["Zx9!", "kQ2#", "vL8m"]  # shared parts count once
+    assert [name for name, _ in secrets.pairs(listed + "name = parts\nvalue = 'x'")][-1] == "".join(keys)
+
+
+def test_constants_of_many_parts_take_linear_time():
+    import time
+
+    listed = "a = [" + ",".join(f"'k{k:05d}'" for k in range(40_000)) + "]\n"
+    chain = "pwd = 'Zx9!'\n" + "".join(f"pwd = pwd + 'k{k:05d}'\n" for k in range(20_000))
+    for text, most in ((listed + "pwd = a\n" * 10_000, 40_000), (listed + "b = a + 'x'\ndb_pwd = b\n" * 5000, 45_000), (chain, 20_001), (listed + "name = a\nvalue = 'x'\n" * 5000, 0)):
+        began = time.process_time()
+        found = lexed(text)
+        assert time.process_time() - began < 8 and len(found) <= most and (len(found) >= most - 5 or not most)
+
+
 def test_secret_query_digest(spark):
     import hashlib
 

@@ -6,7 +6,8 @@ over several lines, literals joined by + . & or by standing side by side, lines
 element texts, and a name and a value given as two attributes or keys of their own. Names stand for the literals they
 were given before (constants), within the function or class that gave them. A literal scores by the sensitive words in the target's name and
 by its own look; spans that score ``LEAST_SCORE`` or more are added, unless a fixed pattern covers them. All
-scanning is in linear time, whatever the length of lines and blanks.
+scanning is in linear time, whatever the length of lines and blanks, and constants have any number of parts; only a sum of constants
+that share parts is counted part by part.
 
 Defined results: null text is empty; spans are in code points, end exclusive; a literal over several lines has a span a
 line; rows that repeat an id are rows like any other. Further columns are ignored.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 KINDS = ("assign", "access", "hex", "lexed")
 # The three base patterns.
@@ -30,8 +32,8 @@ LEAST_SECRET = 6
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5, "credentials": 2.5, "private": 1.5, "auth": 1.5, "key": 1.0, "access": 1.0, "bearer": 2.0, "signature": 1.0, "salt": 1.0, "cookie": 1.0, "session": 0.5, "api": 1.0}
 PLACEHOLDERS = {"changeme", "example", "placeholder", "none", "null", "true", "false", "undefined", "redacted"}
 LEAST_SCORE, LEAST_LITERAL = 3.5, 8
-#: A value of more parts is scored where it stands, but is no constant, lest sums of sums grow without end.
-MOST_PARTS = 64
+_LONGEST_PLACEHOLDER = max(map(len, PLACEHOLDERS))
+_SPACE, _CLASSES = re.compile(r"\s"), [re.compile(p) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]")]
 
 # A target from here on, and one anywhere later. No quantifier that is unbounded can give back what it took, and a search
 # only begins where a run of name characters does, so lines of any length are read in linear time.
@@ -70,16 +72,86 @@ def _sensitivity(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in pieces + pairs), default=0.0) + 0.5 * max(0, sum(p in SENSITIVE for p in pieces) - 1)
 
 
-def _look(value: str) -> float:
+def _look(value: Literal) -> float:
     """How much a literal looks like a secret: its entropy a character, and mixed character classes."""
-    if len(value) < LEAST_LITERAL or value.lower() in PLACEHOLDERS or re.search(r"\s", value):
+    if value._look is None:
+        value._look = _counted_look(value, value.counts())
+    return value._look
+
+
+def _counted_look(value: Literal, counts: Counter[str]) -> float:
+    size = sum(counts.values())
+    if size < LEAST_LITERAL or size <= _LONGEST_PLACEHOLDER and value.text().lower() in PLACEHOLDERS or any(map(_SPACE.match, counts)):
         return -math.inf
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
+    entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
+    classes = sum(any(map(p.match, counts)) for p in _CLASSES)
     return min(entropy, 4.0) / 2 + 0.5 * (classes - 1)
 
 
-Literal = list[tuple[int, int, str]]  # its parts: start, end, text
+Part = tuple[int, int, str]  # start, end, text
+
+
+class Literal:
+    """Parts in their order, each once. Constants within it are shared, not copied, so sums of sums take no more room than their source.
+
+    ``low`` and ``high`` bound the places of its parts. Parts that stand in an expression itself are in no constant before it.
+    """
+
+    __slots__ = ("items", "low", "high", "_counts", "_look")
+
+    def __init__(self, items: Iterable[Part | Literal]):
+        self.items = tuple(dict.fromkeys(items))
+        self.low = min(x.low if isinstance(x, Literal) else x[0] for x in self.items)
+        self.high = max(x.high if isinstance(x, Literal) else x[1] for x in self.items)
+        self._counts: Counter[str] | None = None
+        self._look: float | None = None
+
+    def __iter__(self) -> Iterator[Part]:
+        return self.parts(set())
+
+    def parts(self, seen: set) -> Iterator[Part]:
+        """Its parts, but for those of literals, by identity, and parts already seen."""
+        stack = [iter((self,))]
+        while stack:
+            for x in stack[-1]:
+                key = id(x) if isinstance(x, Literal) else x
+                if key in seen:
+                    continue
+                seen.add(key)
+                if isinstance(x, Literal):
+                    stack.append(iter(x.items))
+                    break
+                yield x
+            else:
+                stack.pop()
+
+    def text(self) -> str:
+        return "".join(text for _, _, text in self)
+
+    def _apart(self) -> bool:
+        """No two of its constants share a part, as far as their bounds tell."""
+        bounds = sorted((x.low, x.high) for x in self.items if isinstance(x, Literal))
+        return all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+
+    def counts(self) -> Counter[str]:
+        """Its characters, in the order of their first coming: summed up from its constants, or, where these may overlap, from its parts."""
+        todo = [self]
+        while todo:
+            last = todo[-1]
+            if last._counts is None:
+                apart = last._apart()
+                if apart and (waiting := [x for x in last.items if isinstance(x, Literal) and x._counts is None]):
+                    todo += waiting
+                    continue
+                last._counts = Counter()
+                for x in last.items if apart else last:
+                    if isinstance(x, Literal):
+                        for c, n in x._counts.items():
+                            last._counts[c] += n
+                    else:
+                        last._counts.update(x[2])
+            todo.pop()
+        return self._counts
 
 
 def _indent(line: str) -> int:
@@ -130,7 +202,7 @@ class _Constants:
         return given[-1][1] if given else None
 
 
-def _line_parts(text: str, start: int, end: int) -> Literal:
+def _line_parts(text: str, start: int, end: int) -> list[Part]:
     """The lines of a literal over several lines, without blanks around and without armour lines."""
     parts = []
     for line in text[start:end].split("\n"):
@@ -142,7 +214,7 @@ def _line_parts(text: str, start: int, end: int) -> Literal:
     return parts
 
 
-def _block(text: str, at: int, indent: int) -> tuple[Literal, int]:
+def _block(text: str, at: int, indent: int) -> tuple[list[Part], int]:
     """The lines from here on that are indented deeper, as one literal."""
     end = at
     while end < len(text):
@@ -155,9 +227,9 @@ def _block(text: str, at: int, indent: int) -> tuple[Literal, int]:
     return _line_parts(text, at, min(end, len(text))), min(end, len(text))
 
 
-def _whole(literals: list[Literal]) -> list[Literal]:
-    """Literals that have a part, each part once."""
-    return [list(dict.fromkeys(x)) for x in literals if x]
+def _whole(literals: list[list[Part | Literal]]) -> list[Literal]:
+    """Literals that have a part. One that is a constant and nothing else is that constant."""
+    return [x[0] if len(x) == 1 and isinstance(x[0], Literal) else Literal(x) for x in literals if x]
 
 
 def _value(text: str, at: int, indent: int, known: _Constants) -> tuple[list[Literal], int]:
@@ -165,8 +237,8 @@ def _value(text: str, at: int, indent: int, known: _Constants) -> tuple[list[Lit
     at = _BLANKS.match(text, at).end()
     if block := _BLOCK.match(text, at):
         literal, at = _block(text, block.end(), indent)
-        return [literal] if literal else [], at
-    found: list[Literal] = [[]]
+        return _whole([literal]), at
+    found: list[list[Part | Literal]] = [[]]
     depth, quoted = 0, False
     while True:
         at = (_OPEN_BLANKS if depth else _BLANKS).match(text, at).end()
@@ -187,7 +259,7 @@ def _value(text: str, at: int, indent: int, known: _Constants) -> tuple[list[Lit
                 return _whole(found), m.end()
             constant = known.get(m[_BARE], at) if bare and _NAME.match(m[_BARE]) else None
             if constant is not None:
-                found[-1] += constant
+                found[-1].append(constant)
             elif m[m.lastindex]:
                 found[-1].append((m.start(m.lastindex), m.end(m.lastindex), m[m.lastindex]))
             at, quoted = m.end(), not bare
@@ -220,7 +292,8 @@ def pairs(text: str) -> list[tuple[str, Literal]]:
     """(name, literal) of every assignment, constants propagated in the order of the text."""
     known = _Constants(text)
     found: list[tuple[str, Literal]] = []
-    naming = ""  # the value of the last pair, if that gives a name
+    naming: Literal | None = None  # the value of the last pair, if that gives a name
+    named, spelled = None, ""
     at = 0
     while sign := _SIGN.search(text, at):
         start = text.rfind("\n", 0, sign.start()) + 1
@@ -233,15 +306,16 @@ def pairs(text: str) -> list[tuple[str, Literal]]:
             if not literals:
                 continue
             name = m[1]
-            if sum(map(len, literals)) <= MOST_PARTS:
-                known.give(name, [part for literal in literals for part in literal], m.start())
+            known.give(name, literals[0] if len(literals) == 1 else Literal(literals), m.start())
             found += [(name, literal) for literal in literals]
             if naming and name.lower() == "value":
-                found += [(naming, literal) for literal in literals]
-            naming = "".join(part[2] for part in literals[0]) if name.lower() in _NAMING else ""
+                if named is not naming:
+                    named, spelled = naming, naming.text()
+                found += [(spelled, literal) for literal in literals]
+            naming = literals[0] if name.lower() in _NAMING else None
         else:
             at = max(at, end)
-    found += [(m[1], [(m.start(2), m.end(2), m[2])]) for m in _ELEMENT.finditer(text)]
+    found += [(m[1], Literal([(m.start(2), m.end(2), m[2])])) for m in _ELEMENT.finditer(text)]
     return found
 
 
@@ -249,11 +323,12 @@ def lexed_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     """Literals that score as secrets and overlap no span already taken."""
     if "=" not in text and ":" not in text and "</" not in text:
         return []
-    spans = set()
-    for name, values in pairs(text):
-        weight = _sensitivity(name)
-        if weight and weight + _look("".join(v for _, _, v in values)) >= LEAST_SCORE:
-            spans |= {("lexed", a, b) for a, b, _ in values if not any(s < b and a < e for _, s, e in taken)}
+    spans, seen, weights = set(), set(), {}
+    found = pairs(text)  # holds the literals, whose identities are what is seen
+    for name, value in found:
+        weight = weights[name] if name in weights else weights.setdefault(name, _sensitivity(name))
+        if weight and weight + _look(value) >= LEAST_SCORE:
+            spans |= {("lexed", a, b) for a, b, _ in value.parts(seen) if not any(s < b and a < e for _, s, e in taken)}
     return list(spans)
 
 
